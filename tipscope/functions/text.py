@@ -139,20 +139,14 @@ def alias_key(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(text)), "[^a-z0-9&]", "")
 
 
-def name_tokens(text: Column | str) -> Column:
-    """Lower-cased word tokens without stop words, unless nothing would be left."""
-    words = F.filter(
-        F.split(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]", " "), " +"),
-        lambda word: word != "",
-    )
-    kept = F.filter(words, lambda word: ~word.isin(*NAME_STOP_WORDS))
-    return F.when(F.size(kept) > 0, kept).otherwise(words)
-
-
 def normal_name(text: Column | str) -> Column:
-    return F.array_join(name_tokens(text), " ")
+    """Lower-cased words without stop words, unless nothing would be left."""
+    words = F.trim(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]+", " "))
+    kept = F.trim(F.regexp_replace(
+        F.regexp_replace(words, rf"\b(?:{'|'.join(NAME_STOP_WORDS)})\b", ""), " +", " "))
+    return F.when(kept != "", kept).otherwise(words)
 
 
 def sorted_name(text: Column | str) -> Column:
-    """The normalised name with its tokens in order, so word order does not matter."""
-    return F.array_join(F.array_sort(name_tokens(text)), " ")
+    """The normalised name with its words in order, so word order does not matter."""
+    return F.array_join(F.array_sort(F.split(normal_name(text), " ")), " ")

@@ -434,7 +434,8 @@ def _market_side(spark, sf):
 
 
 def _risk_scores(spark, sf):
-    tips = P.parse_tips(messages(spark, sf), symbols(spark, sf))
+    shared_dir(spark)
+    tips = P.parse_tips(messages(spark, sf), symbols(spark, sf)).checkpoint()
     named = tips.where("ticker IS NOT NULL").select("ticker", "channel_id", "posted_at")
     return P.score_tips(tips, _market_side(spark, sf), B.burst_stats(named, WATCH_AS_OF))
 
@@ -460,9 +461,11 @@ def score_replies(spark, sf):
 def model_risk_scores(spark, sf):
     """Scores with a trained model end to end."""
     model = _small_model(spark, sf)
+    shared_dir(spark)
+    tagged = RS.tag_mentions(messages(spark, sf), symbols(spark, sf)).checkpoint()
     return P.score_messages(
-        messages(spark, sf), symbols(spark, sf), features(spark, sf), model,
-        RS.tag_mentions(messages(spark, sf), symbols(spark, sf)), as_of=WATCH_AS_OF
+        messages(spark, sf), symbols(spark, sf), features(spark, sf), model, tagged,
+        as_of=WATCH_AS_OF
     ).select(*MESSAGE_KEY, "value", "band", "confidence", "ticker", "model_susceptibility")
 
 
