@@ -23,22 +23,25 @@ def clean_all(df: DataFrame) -> DataFrame:
     return df.select(*[clean(F.col(f"`{name}`")).alias(name) for name in df.columns])
 
 
-def to_double(col: Column | str) -> Column:
-    """Decimal text to DOUBLE. Placeholders such as ``-`` give NULL, never NaN."""
-    text = clean(col)
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+def keep(col: Column) -> Column:
+    return col
 
 
-def to_long(col: Column | str) -> Column:
-    """Whole-number text, also written as ``1.0``, to BIGINT."""
-    plain = clean(col).try_cast("bigint")
+def to_double(col: Column) -> Column:
+    """Decimal text (cleaned) to DOUBLE. Placeholders such as ``-`` give NULL, never NaN."""
+    return F.when(col.rlike(_NUMBER), col.try_cast("double"))
+
+
+def to_long(col: Column) -> Column:
+    """Whole-number text (cleaned), also written as ``1.0``, to BIGINT."""
     number = to_double(col)
-    return F.coalesce(plain, F.when(number == F.floor(number), number.try_cast("bigint")))
+    return F.coalesce(col.try_cast("bigint"),
+                      F.when(number == F.floor(number), number.try_cast("bigint")))
 
 
-def to_date(col: Column | str) -> Column:
-    """Dates such as ``14-Aug-2026``."""
-    return F.try_to_date(clean(col), "d-MMM-yyyy")
+def to_date(col: Column) -> Column:
+    """Dates (cleaned) such as ``14-Aug-2026``."""
+    return F.try_to_date(col, "d-MMM-yyyy")
 
 
 def is_sme_series(series: Column | str) -> Column:

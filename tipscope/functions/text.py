@@ -139,14 +139,19 @@ def alias_key(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(text)), "[^a-z0-9&]", "")
 
 
-def normal_name(text: Column | str) -> Column:
+def name_words(text: Column | str) -> Column:
     """Lower-cased words without stop words, unless nothing would be left."""
-    words = F.trim(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]+", " "))
-    kept = F.trim(F.regexp_replace(
-        F.regexp_replace(words, rf"\b(?:{'|'.join(NAME_STOP_WORDS)})\b", ""), " +", " "))
-    return F.when(kept != "", kept).otherwise(words)
+    words = F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    kept = words
+    for stop in NAME_STOP_WORDS:
+        kept = F.array_remove(kept, stop)
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
+
+
+def normal_name(text: Column | str) -> Column:
+    return F.array_join(name_words(text), " ")
 
 
 def sorted_name(text: Column | str) -> Column:
     """The normalised name with its words in order, so word order does not matter."""
-    return F.array_join(F.array_sort(F.split(normal_name(text), " ")), " ")
+    return F.array_join(F.sort_array(name_words(text)), " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -32,14 +32,32 @@ def trailing_return(close: Column, sessions: int, w: WindowSpec) -> Column:
 
 
 def volume_zscore(volume: Column, w: WindowSpec, *, sessions: int = 60,
-                  min_periods: int = 20) -> Column:
-    """Today's volume against the sessions before it; a flat baseline has no z-score."""
-    prior = w.rowsBetween(-sessions, -1)
-    spread = F.stddev_samp(volume).over(prior)
-    return F.when(
-        (F.count(volume).over(prior) >= min_periods) & (spread > 0.0),
-        (volume - F.avg(volume).over(prior)) / F.nullif(spread, F.lit(0.0)),
-    )
+                  min_periods: int = 20, whole_numbers: bool = False) -> Column:
+    """Today's volume against the sessions before it; a flat baseline has no z-score.
+
+    Whole-number volumes use differences of running sums, which cost the same for any frame
+    length. The sums are decimals: exact, so a flat baseline shows a scatter of exactly zero.
+    """
+    if not whole_numbers:
+        prior = w.rowsBetween(-sessions, -1)
+        n, mean = F.count(volume).over(prior), F.avg(volume).over(prior)
+        spread = F.stddev_samp(volume).over(prior)
+    else:
+        def prior_sum(value: Column) -> Column:
+            until = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+            before = F.sum(value).over(
+                w.rowsBetween(Window.unboundedPreceding, -sessions - 1))
+            return F.coalesce(until, F.lit(0)) - F.coalesce(before, F.lit(0))
+
+        exact = volume.cast("decimal(18,0)")
+        n = prior_sum(F.when(volume.isNotNull(), 1).otherwise(0))
+        total, squares = prior_sum(exact), prior_sum(exact * exact)
+        count = n.cast("double")
+        scatter = (n.cast("decimal(10,0)") * squares - total * total).cast("double")
+        mean = total.cast("double") / F.nullif(count, F.lit(0.0))
+        spread = F.sqrt(scatter / F.nullif(count * (count - 1.0), F.lit(0.0)))
+    return F.when((n >= min_periods) & (spread > 0.0),
+                  (volume.cast("double") - mean) / F.nullif(spread, F.lit(0.0)))
 
 
 def change_from_mean(value: Column, w: WindowSpec, *, sessions: int = 10,
@@ -57,7 +75,7 @@ def locked_up(high: Column, low: Column, close: Column, prev_close: Column) -> C
 def trailing_median(value: Column, w: WindowSpec, *, sessions: int = 20,
                     min_periods: int = 5) -> Column:
     frame = w.rowsBetween(-(sessions - 1), 0)
-    ordered = F.array_sort(F.collect_list(value).over(frame))
+    ordered = F.sort_array(F.collect_list(value).over(frame))
     n = F.size(ordered)
     middle = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
     other = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
@@ -71,21 +89,22 @@ def liquidity_bucket(median: Column) -> Column:
     return bucket.otherwise(LIQUIDITY_LABELS[-1])
 
 
-def feature_expressions(w: WindowSpec) -> dict[str, Column]:
-    """Every windowed feature, by name. ``trailing_median_turnover_20d`` feeds the bucket."""
-    close, volume = finite("close"), finite("total_traded_qty")
-    delivery = finite("deliv_pct")
+def with_features(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+    """Add every windowed feature."""
+    whole = dict(blocks.dtypes)["total_traded_qty"] in ("bigint", "int", "smallint")
+    close, delivery = finite("close"), finite("deliv_pct")
+    volume = F.col("total_traded_qty") if whole else finite("total_traded_qty")
     locked = locked_up(finite("high"), finite("low"), close, finite("prev_close"))
-    return {
+    return blocks.withColumns({
         "runup_5d": trailing_return(close, 5, w),
         "runup_10d": trailing_return(close, 10, w),
         "runup_20d": trailing_return(close, 20, w),
-        "volume_zscore_60d": volume_zscore(volume, w),
+        "volume_zscore_60d": volume_zscore(volume, w, whole_numbers=whole),
         "delivery_pct": delivery,
         "delivery_pct_trend_10d": change_from_mean(delivery, w),
         "upper_circuit_count_10d": F.sum(locked.cast("bigint")).over(w.rowsBetween(-9, 0)),
         "trailing_median_turnover_20d": trailing_median(finite("turnover_lacs"), w),
-    }
+    })
 
 
 def finish_features(windowed: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -114,8 +133,6 @@ def market_features(prices: DataFrame, symbols: DataFrame | None = None, *,
     used = prices.select(*SECURITY_KEY, *REQUIRED_COLUMNS, "is_sme")
     numbered = number_sessions(used, symbols).where(F.col("sessions") >= min_history)
     blocks = cut_blocks(numbered, back=LOOK_BACK)
-    windowed = blocks.select("*", *[
-        column.alias(name) for name, column in feature_expressions(block_window()).items()
-    ]).where(~F.col("is_copy"))
+    windowed = with_features(blocks, block_window()).where(~F.col("is_copy"))
     features = finish_features(windowed)
     return features if only is None else features.select(*SESSION_KEY, *only)

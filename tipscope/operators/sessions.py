@@ -53,7 +53,8 @@ def number_sessions(prices: DataFrame, symbols: DataFrame | None = None) -> Data
             F.max("date_of_listing").alias("date_of_listing"))
         offsets = offsets.join(listed, SECURITY_KEY, "left")
     return (
-        ranked.join(offsets, year_key)
+        # Merge join: the rows already lie sorted by year_key, so they are not moved again.
+        ranked.join(offsets.hint("merge"), year_key)
         .withColumn("session", F.col("_before") + F.col("_rank"))
         .drop("_rank", "_before", "_year")
     )

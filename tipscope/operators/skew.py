@@ -12,15 +12,20 @@ SALTS = 64
 BROADCAST_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """(key, n_rows) of the rows that have a key."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_rows"))
+
+
+def hot_keys(counts: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys holding more than ``share`` of the keyed rows: never more than ``1 / share`` rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-    total = counts.select(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
-    return counts.where(F.col("_rows") > total * F.lit(share)).select(key)
+    total = counts.select(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
+    return counts.where(F.col("n_rows") > total * F.lit(share)).select(key)
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, *, spread_by: list[str | Column],
-              how: str = "left", share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+              how: str = "left", counts: DataFrame | None = None, share: float = HOT_SHARE,
+              salts: int = SALTS) -> DataFrame:
     """Join ``big`` with ``small`` (at most one row per key) on one key column.
 
     Rows of a hot key are dealt over ``salts`` buckets by a hash of ``spread_by`` (columns that
@@ -28,9 +33,11 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, *, spread_by: list[str
     other keys keep one bucket, so ``small`` grows by at most ``salts / share`` rows. Rows
     without a key cannot match and are dealt out the same way. The list of hot keys is bounded
     by ``1 / share``, which is why it may be broadcast; ``small`` itself is left to the
-    optimizer, which broadcasts it only when its measured size allows.
+    optimizer, which broadcasts it only when its measured size allows. ``counts`` may pass in
+    known ``key_counts`` of ``big``.
     """
-    hot = F.broadcast(hot_keys(big, key, share).withColumn("_hot", F.lit(True)))
+    counts = key_counts(big, key) if counts is None else counts
+    hot = F.broadcast(hot_keys(counts, key, share).withColumn("_hot", F.lit(True)))
     dealt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     left = (
         big.join(hot, key, "left")

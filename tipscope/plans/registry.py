@@ -23,7 +23,7 @@ from tipscope.plans import scoring as P
 from tipscope.plans import susceptibility as ML
 from tipscope.plans.driver_tables import driver_table, engine_table
 from tipscope.schemas import MESSAGE_KEY, SESSION_KEY
-from tipscope.session import scratch_path, shared_dir
+from tipscope.session import materialize, scratch_path
 from tipscope.sources import calendar as C
 from tipscope.sources import exchange_files as XF
 from tipscope.sources import messages as MS
@@ -434,8 +434,7 @@ def _market_side(spark, sf):
 
 
 def _risk_scores(spark, sf):
-    shared_dir(spark)
-    tips = P.parse_tips(messages(spark, sf), symbols(spark, sf)).checkpoint()
+    tips = materialize(P.parse_tips(messages(spark, sf), symbols(spark, sf)), "tips")
     named = tips.where("ticker IS NOT NULL").select("ticker", "channel_id", "posted_at")
     return P.score_tips(tips, _market_side(spark, sf), B.burst_stats(named, WATCH_AS_OF))
 
@@ -461,8 +460,7 @@ def score_replies(spark, sf):
 def model_risk_scores(spark, sf):
     """Scores with a trained model end to end."""
     model = _small_model(spark, sf)
-    shared_dir(spark)
-    tagged = RS.tag_mentions(messages(spark, sf), symbols(spark, sf)).checkpoint()
+    tagged = materialize(RS.tag_mentions(messages(spark, sf), symbols(spark, sf)), "mentions")
     return P.score_messages(
         messages(spark, sf), symbols(spark, sf), features(spark, sf), model, tagged,
         as_of=WATCH_AS_OF
@@ -477,8 +475,8 @@ def _dataset(spark, sf):
 
 @query
 def temporal_split_counts(spark, sf):
-    split = D.temporal_split(_dataset(spark, sf))
-    return split.groupBy("split").agg(
+    dataset = materialize(_dataset(spark, sf).select("trade_date", LABEL_COLUMN), "dataset")
+    return D.temporal_split(dataset).groupBy("split").agg(
         F.count("*").alias("n"), F.sum(LABEL_COLUMN).alias("positives"),
         F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
 
@@ -529,10 +527,12 @@ def score_distribution(spark, sf):
     return rounded(M.score_distribution(scores(spark, sf)))
 
 
+def _split(spark, sf):
+    return materialize(D.temporal_split(materialize(_dataset(spark, sf), "dataset")), "split")
+
+
 def _small_model(spark, sf):
-    shared_dir(spark)
-    split = D.temporal_split(_dataset(spark, sf)).checkpoint()
-    return ML.fit(split, max_iter=QUERY_ROUNDS, step_size=0.1, min_leaf=20)
+    return ML.fit(_split(spark, sf), max_iter=QUERY_ROUNDS, step_size=0.1, min_leaf=20)
 
 
 @query
@@ -553,7 +553,6 @@ def model_report(spark, sf):
 
 @query
 def permutation_importance(spark, sf):
-    shared_dir(spark)
-    split = D.temporal_split(_dataset(spark, sf)).checkpoint()
+    split = _split(spark, sf)
     model = ML.fit(split, max_iter=QUERY_ROUNDS, step_size=0.1, min_leaf=20)
     return ML.permutation_importance(model, split.where("split = 'test'").drop("split"))

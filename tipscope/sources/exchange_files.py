@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tipscope.functions.coerce import clean, is_sme_series, to_date, to_double, to_long
+from tipscope.functions.coerce import clean, is_sme_series, keep, to_date, to_double, to_long
 from tipscope.schemas import SECURITY_KEY, SESSION_KEY, require_columns
 
 # Source header names, in file order, and the table columns they fill.
 DAILY_COLUMNS = {
-    "SYMBOL": ("symbol", clean), "SERIES": ("series", clean), "DATE1": ("trade_date", to_date),
+    "SYMBOL": ("symbol", keep), "SERIES": ("series", keep), "DATE1": ("trade_date", to_date),
     "PREV_CLOSE": ("prev_close", to_double), "OPEN_PRICE": ("open", to_double),
     "HIGH_PRICE": ("high", to_double), "LOW_PRICE": ("low", to_double),
     "LAST_PRICE": ("last", to_double), "CLOSE_PRICE": ("close", to_double),
@@ -47,11 +47,13 @@ def type_daily_rows(raw: DataFrame, *, exchange: str = "NSE",
                     source_file: str = "source_file") -> DataFrame:
     """Untyped price rows to ``daily_prices`` rows; rows without a full key are dropped."""
     require_columns(raw, DAILY_COLUMNS, "daily price file")
-    typed = raw.select(
+    # Cleaned in a step of its own, so a field is stripped once and not at every mention.
+    fields = raw.select(*[clean(F.col(name)).alias(name) for name in DAILY_COLUMNS],
+                        F.col(source_file).alias("source_file"))
+    typed = fields.select(
         F.lit(exchange).alias("exchange"),
         *[parse(F.col(name)).alias(target) for name, (target, parse) in DAILY_COLUMNS.items()],
-        is_sme_series(clean(F.col("SERIES"))).alias("is_sme"),
-        F.col(source_file).alias("source_file"),
+        is_sme_series("SERIES").alias("is_sme"), "source_file",
     )
     return typed.dropna(subset=["symbol", "series", "trade_date"])
 
