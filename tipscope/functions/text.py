@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipscope.functions.vocabulary import DEFAULT, Vocabulary
@@ -42,45 +42,101 @@ def contains_term(text_lower: Column | str, terms: Iterable[str]) -> Column:
     """Does the lower-cased text hold any of the terms?
 
     A term that starts with a letter or digit must stand as whole words; any other term (an
-    emoji) may occur anywhere. All word terms of a list share one pattern, so a text is scanned
-    once per list and not once per term.
+    emoji) may occur anywhere.
     """
     text = _col(text_lower)
     terms = [term for term in terms if term]
-    words = [term.lower() for term in terms if term[0].isalnum()]
-    marks = [term for term in terms if not term[0].isalnum()]
-    hit = F.lit(False)
+    if not terms:
+        return F.lit(False)
+    return F.coalesce(text.rlike(_term_pattern(terms)), F.lit(False))
+
+
+def _is_word(term: str) -> bool:
+    return term[0].isalnum()
+
+
+def _term_pattern(terms: list[str]) -> str:
+    """One pattern for all terms; where several fit at one place the longest does."""
+    longest_first = sorted({t.lower() if _is_word(t) else t for t in terms}, key=len, reverse=True)
+    words = [t for t in longest_first if _is_word(t)]
+    branches = []
     if words:
-        choice = "|".join(_quote(word) for word in words)
-        hit = hit | text.rlike(f"(?<!{WORD})(?:{choice})(?!{WORD})")
-    if marks:
-        hit = hit | text.rlike("|".join(_quote(mark) for mark in marks))
-    return F.coalesce(hit, F.lit(False))
-
-
-def language(text: Column | str, vocabulary: Vocabulary = DEFAULT) -> Column:
-    """``hi-Latn``, ``mixed`` or ``en`` by marker words."""
-    words = F.array_distinct(
-        F.coalesce(F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z]+"), F.lit(0)),
-                   F.array().cast("array<string>"))
-    )
-    markers = F.array(*[F.lit(word) for word in vocabulary.hinglish])
-    hinglish = F.arrays_overlap(words, markers)
-    english = F.exists(F.array_except(words, markers), lambda word: F.length(word) > 1)
+        # Grouped by first character, so most places are ruled out by one comparison each.
+        groups = [
+            _quote(head) + "(?:" + "|".join(_quote(w[1:]) for w in words if w[0] == head) + ")"
+            for head in sorted({w[0] for w in words})
+        ]
+        branches.append(f"(?<!{WORD})(?:{'|'.join(groups)})(?!{WORD})")
+    branches += [_quote(t) for t in longest_first if not _is_word(t)]
+    return "|".join(branches)
+
+
+def term_hits(text_lower: Column | str, vocabulary: Vocabulary = DEFAULT) -> Column:
+    """Distinct vocabulary terms of a text, the longest at each place, in one scan.
+
+    The capture sits in a look-ahead, so a hit uses up no text and terms inside it are found.
+    """
+    pattern = f"(?=({_term_pattern(vocabulary.phrases())}))"
+    found = F.regexp_extract_all(_col(text_lower), F.lit(pattern), F.lit(1))
+    return F.array_distinct(found)
+
+
+TermTest = Callable[[Iterable[str]], Column]
+
+
+def scan_test(text_lower: Column | str) -> TermTest:
+    """Tests that scan the text once per list."""
+    return lambda terms: contains_term(text_lower, terms)
+
+
+def hit_test(hits: Column | str, vocabulary: Vocabulary = DEFAULT) -> TermTest:
+    """Tests on the result of ``term_hits``.
+
+    A term that is not the longest at its place is the beginning of the one that is, up to a
+    word end. So a list is hit if any term is found that equals or so begins with one of its
+    own.
+    """
+    def begins(longer: str, term: str) -> bool:
+        if not longer.startswith(term):
+            return False
+        rest = longer[len(term):]
+        return not rest or not _is_word(term) or not (rest[0].isalnum() or rest[0] == "_")
+
+    def test(terms: Iterable[str]) -> Column:
+        wanted = [t.lower() if _is_word(t) else t for t in terms if t]
+        telling = [
+            found for found in sorted({t.lower() for t in vocabulary.phrases()})
+            if any(begins(found, term) for term in wanted)
+        ]
+        if not telling:
+            return F.lit(False)
+        return F.coalesce(
+            F.arrays_overlap(_col(hits), F.array(*[F.lit(t) for t in telling])), F.lit(False))
+
+    return test
+
+
+def language(text_lower: Column | str, vocabulary: Vocabulary = DEFAULT) -> Column:
+    """``hi-Latn``, ``mixed`` or ``en`` by marker words among the runs of a-z.
+
+    English needs one run of two or more letters that is no marker; the search stops there.
+    """
+    marker = "(?:" + "|".join(vocabulary.hinglish) + ")(?![a-z])"
+    text = _col(text_lower)
+    hinglish = text.rlike(f"(?<![a-z]){marker}")
+    english = text.rlike(f"(?<![a-z])(?!{marker})[a-z]{{2,}}")
     return (
         F.when(hinglish & english, "mixed").when(hinglish, "hi-Latn").otherwise("en")
     )
 
 
-def direction(text_lower: Column | str, vocabulary: Vocabulary = DEFAULT) -> Column:
-    up = contains_term(text_lower, vocabulary.long)
-    down = contains_term(text_lower, vocabulary.short)
+def direction(has: TermTest, vocabulary: Vocabulary = DEFAULT) -> Column:
+    up, down = has(vocabulary.long), has(vocabulary.short)
     return F.when(up & ~down, "long").when(down & ~up, "short").otherwise("unclear")
 
 
 def _captured(text: Column | str, pattern: str) -> Column:
-    found = F.regexp_extract(_col(text), pattern, 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(_col(text), pattern, 1), F.lit(""))
 
 
 def target_price(text: Column | str) -> Column:
@@ -88,16 +144,15 @@ def target_price(text: Column | str) -> Column:
     return _captured(text, _UNICODE + TARGET_PATTERN).try_cast("double")
 
 
-def horizon_days(text: Column | str, vocabulary: Vocabulary = DEFAULT) -> Column:
+def horizon_days(text: Column | str, has: TermTest,
+                 vocabulary: Vocabulary = DEFAULT) -> Column:
     """Days, then weeks, then months in the text; failing those the horizon key words."""
 
     def count_of(pattern: str) -> Column:
         return _captured(text, f"{_UNICODE}{pattern}(?!{WORD})").try_cast("int")
 
-    lowered = F.lower(_col(text))
     by_word = (
-        F.when(contains_term(lowered, vocabulary.intraday), F.lit(1))
-        .when(contains_term(lowered, vocabulary.positional), F.lit(5))
+        F.when(has(vocabulary.intraday), F.lit(1)).when(has(vocabulary.positional), F.lit(5))
     )
     return F.coalesce(
         count_of(DAYS_PATTERN), count_of(WEEKS_PATTERN) * 7, count_of(MONTHS_PATTERN) * 30,
@@ -105,27 +160,38 @@ def horizon_days(text: Column | str, vocabulary: Vocabulary = DEFAULT) -> Column
     )
 
 
-def urgency(text_lower: Column | str, vocabulary: Vocabulary = DEFAULT) -> Column:
+def urgency(has: TermTest, vocabulary: Vocabulary = DEFAULT) -> Column:
     return (
-        F.when(contains_term(text_lower, vocabulary.urgency_high), "high")
-        .when(contains_term(text_lower, vocabulary.urgency_medium), "medium")
-        .otherwise("low")
+        F.when(has(vocabulary.urgency_high), "high")
+        .when(has(vocabulary.urgency_medium), "medium").otherwise("low")
     )
 
 
-def tip_columns(text: Column | str, vocabulary: Vocabulary = DEFAULT) -> list[Column]:
-    """All columns that depend on nothing but the text."""
-    lowered = F.lower(_col(text))
-    return [
-        language(text, vocabulary).alias("language"),
-        direction(lowered, vocabulary).alias("direction"),
+TIP_COLUMNS = ("language", "direction", "target_price", "horizon_days", "urgency",
+               "guarantee_claim", "insider_claim", "disclosure_present")
+
+
+def with_tip_columns(df: DataFrame, text: str = "text",
+                     vocabulary: Vocabulary = DEFAULT) -> DataFrame:
+    """Add all columns that depend on nothing but the text.
+
+    The lower-cased text and its term hits are steps of their own, so each text is scanned once
+    for all lists together.
+    """
+    scanned = df.withColumn("_lower", F.lower(_col(text))).withColumn(
+        "_hits", term_hits("_lower", vocabulary))
+    has = hit_test("_hits", vocabulary)
+    return scanned.select(
+        *[F.col(name) for name in df.columns],
+        language("_lower", vocabulary).alias("language"),
+        direction(has, vocabulary).alias("direction"),
         target_price(text).alias("target_price"),
-        horizon_days(text, vocabulary).alias("horizon_days"),
-        urgency(lowered, vocabulary).alias("urgency"),
-        contains_term(lowered, vocabulary.guarantee).alias("guarantee_claim"),
-        contains_term(lowered, vocabulary.insider).alias("insider_claim"),
-        contains_term(lowered, vocabulary.disclosure).alias("disclosure_present"),
-    ]
+        horizon_days(text, has, vocabulary).alias("horizon_days"),
+        urgency(has, vocabulary).alias("urgency"),
+        has(vocabulary.guarantee).alias("guarantee_claim"),
+        has(vocabulary.insider).alias("insider_claim"),
+        has(vocabulary.disclosure).alias("disclosure_present"),
+    )
 
 
 def ticker_tokens(text: Column | str) -> Column:
@@ -139,19 +205,26 @@ def alias_key(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(text)), "[^a-z0-9&]", "")
 
 
-def name_words(text: Column | str) -> Column:
-    """Lower-cased words without stop words, unless nothing would be left."""
-    words = F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = words
-    for stop in NAME_STOP_WORDS:
-        kept = F.array_remove(kept, stop)
-    return F.when(F.size(kept) > 0, kept).otherwise(words)
+def _words(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def normal_name(text: Column | str) -> Column:
-    return F.array_join(name_words(text), " ")
+def _without_stop_words(words: Column) -> Column:
+    for stop in NAME_STOP_WORDS:
+        words = F.array_remove(words, stop)
+    return words
+
 
+def with_sorted_name(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the normalised name of a text with its words in order.
 
-def sorted_name(text: Column | str) -> Column:
-    """The normalised name with its words in order, so word order does not matter."""
-    return F.array_join(F.sort_array(name_words(text)), " ")
+    Lower-cased words without stop words, unless nothing would be left. In steps, so that the
+    text is split into words once.
+    """
+    return (
+        df.withColumn("_words", _words(text))
+        .withColumn("_kept", _without_stop_words(F.col("_words")))
+        .withColumn(name, F.array_join(F.sort_array(
+            F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("_words"))), " "))
+        .drop("_words", "_kept")
+    )

@@ -336,7 +336,7 @@ def channel_windows_stream(spark, sf):
 # --- messages ------------------------------------------------------------------------------------
 
 def _tip_table(df: DataFrame) -> DataFrame:
-    return df.select(*MESSAGE_KEY, *X.tip_columns("text"))
+    return X.with_tip_columns(df).select(*MESSAGE_KEY, *X.TIP_COLUMNS)
 
 
 @query
@@ -382,9 +382,9 @@ def resolve_alias(spark, sf):
 
 @query
 def resolve_fuzzy(spark, sf):
-    asked = messages(spark, sf).select(X.sorted_name("text").alias("query")).where(
-        "query <> ''").distinct()
-    return rounded(RS.fuzzy_matches(asked, RS.clean_master(symbols(spark, sf))))
+    asked = X.with_sorted_name(messages(spark, sf), "text", "query").select("query").distinct()
+    queries = materialize(asked, "queries").where("query <> ''")
+    return rounded(RS.fuzzy_matches(queries, RS.clean_master(symbols(spark, sf))))
 
 
 @query
@@ -416,9 +416,10 @@ def resolver_accuracy(spark, sf):
 def name_similarity(spark, sf):
     """Token-sorted subsequence ratio of part names with their neighbour in key order."""
     part = driver_table(spark, sf, "part")
-    a = part.select(F.col("p_partkey").alias("k"), X.sorted_name(
-        F.concat("p_name", F.lit(" "), "p_type")).alias("a"))
-    b = part.select((F.col("p_partkey") + 1).alias("k"), X.sorted_name("p_name").alias("b"))
+    both = part.withColumn("_typed", F.concat("p_name", F.lit(" "), "p_type"))
+    a = X.with_sorted_name(both, "_typed", "a").select(F.col("p_partkey").alias("k"), "a")
+    b = X.with_sorted_name(part, "p_name", "b").select(
+        (F.col("p_partkey") + 1).alias("k"), "b")
     return rounded(a.join(b, "k").select("k", "a", "b", subsequence_ratio("a", "b")
                                          .alias("ratio")))
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tipscope.functions.text import tip_columns
 from tipscope.operators.bursts import is_burst
 from tipscope.operators.resolve import alias_symbol, clean_master, symbol_names
-from tipscope.functions.text import ticker_tokens
+from tipscope.functions.text import TIP_COLUMNS, ticker_tokens, with_tip_columns
 from tipscope.schemas import CHANNEL_MESSAGES, MESSAGE_KEY, SESSION_KEY
 from tipscope.sources.exchange_files import DAILY_COLUMNS, text_schema, type_daily_rows
 from tipscope.sources.tables import upsert
@@ -73,12 +72,12 @@ def tag_stream(messages: DataFrame, symbols: DataFrame) -> DataFrame:
     names = symbol_names(clean_master(symbols)).select(F.col("symbol").alias("_token"))
     tokens = F.concat(F.array(F.lit("")), ticker_tokens("text"))
     return (
-        messages.withColumn("_token", F.explode(tokens))
+        with_tip_columns(messages).withColumn("_token", F.explode(tokens))
         .join(names.withColumn("_known", F.lit(True)), "_token", "left")
         .where(F.col("_known") | (F.col("_token") == ""))
         .withColumn("_exact", F.when(F.col("_known"), F.col("_token")))
         .select(*MESSAGE_KEY, "text", "posted_at", "_exact",
-                alias_symbol("text").alias("_alias"), *tip_columns("text"))
+                alias_symbol("text").alias("_alias"), *TIP_COLUMNS)
     )
 
 
