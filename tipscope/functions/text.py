@@ -55,28 +55,41 @@ def _is_word(term: str) -> bool:
     return term[0].isalnum()
 
 
-def _term_pattern(terms: list[str]) -> str:
-    """One pattern for all terms; where several fit at one place the longest does."""
-    longest_first = sorted({t.lower() if _is_word(t) else t for t in terms}, key=len, reverse=True)
-    words = [t for t in longest_first if _is_word(t)]
-    branches = []
-    if words:
-        # Grouped by first character, so most places are ruled out by one comparison each.
-        groups = [
-            _quote(head) + "(?:" + "|".join(_quote(w[1:]) for w in words if w[0] == head) + ")"
-            for head in sorted({w[0] for w in words})
-        ]
-        branches.append(f"(?<!{WORD})(?:{'|'.join(groups)})(?!{WORD})")
-    branches += [_quote(t) for t in longest_first if not _is_word(t)]
-    return "|".join(branches)
+def _choice(words: Iterable[str]) -> str:
+    """Alternatives, longest first, grouped by first character: one comparison rules out most."""
+    longest_first = sorted(set(words), key=len, reverse=True)
+    return "|".join(
+        _quote(head) + "(?:" + "|".join(_quote(w[1:]) for w in longest_first if w[0] == head) + ")"
+        for head in sorted({w[0] for w in longest_first})
+    )
+
+
+def _split_terms(terms: Iterable[str]) -> tuple[list[str], list[str]]:
+    """(word terms in lower case, other terms)."""
+    terms = [t for t in terms if t]
+    return [t.lower() for t in terms if _is_word(t)], [t for t in terms if not _is_word(t)]
+
+
+def _term_pattern(terms: Iterable[str]) -> str:
+    words, marks = _split_terms(terms)
+    branches = [f"(?<!{WORD})(?:{_choice(words)})(?!{WORD})"] if words else []
+    return "|".join(branches + [_quote(t) for t in marks])
 
 
 def term_hits(text_lower: Column | str, vocabulary: Vocabulary = DEFAULT) -> Column:
     """Distinct vocabulary terms of a text, the longest at each place, in one scan.
 
-    The capture sits in a look-ahead, so a hit uses up no text and terms inside it are found.
+    Every match takes one word (or one mark) with the separators behind it. The capture, in a
+    look-ahead, is the term that starts there, if any; so terms are only tried where a word
+    starts, and terms that start inside a longer one are found as well.
     """
-    pattern = f"(?=({_term_pattern(vocabulary.phrases())}))"
+    words, marks = _split_terms(vocabulary.phrases())
+    branches = [f"(?:{_choice(words)})(?!{WORD})"] if words else []
+    branches += [_quote(t) for t in sorted(marks, key=len, reverse=True)]
+    stops = "".join(_quote(head) for head in sorted({t[0] for t in marks}))
+    separator = "[^" + WORD[1:]
+    pattern = (f"(?=({'|'.join(branches)})?+)(?:{WORD}++|{separator})"
+               f"{separator[:-1]}{stops}]*+")
     found = F.regexp_extract_all(_col(text_lower), F.lit(pattern), F.lit(1))
     return F.array_distinct(found)
 
@@ -102,10 +115,12 @@ def hit_test(hits: Column | str, vocabulary: Vocabulary = DEFAULT) -> TermTest:
         rest = longer[len(term):]
         return not rest or not _is_word(term) or not (rest[0].isalnum() or rest[0] == "_")
 
+    words, marks = _split_terms(vocabulary.phrases())
+
     def test(terms: Iterable[str]) -> Column:
         wanted = [t.lower() if _is_word(t) else t for t in terms if t]
         telling = [
-            found for found in sorted({t.lower() for t in vocabulary.phrases()})
+            found for found in sorted({*words, *marks})
             if any(begins(found, term) for term in wanted)
         ]
         if not telling:
@@ -121,7 +136,7 @@ def language(text_lower: Column | str, vocabulary: Vocabulary = DEFAULT) -> Colu
 
     English needs one run of two or more letters that is no marker; the search stops there.
     """
-    marker = "(?:" + "|".join(vocabulary.hinglish) + ")(?![a-z])"
+    marker = f"(?:{_choice(vocabulary.hinglish)})(?![a-z])"
     text = _col(text_lower)
     hinglish = text.rlike(f"(?<![a-z]){marker}")
     english = text.rlike(f"(?<![a-z])(?!{marker})[a-z]{{2,}}")
