@@ -435,7 +435,8 @@ def _market_side(spark, sf):
 
 
 def _risk_scores(spark, sf):
-    tips = materialize(P.parse_tips(messages(spark, sf), symbols(spark, sf)), "tips")
+    tips = materialize(
+        P.parse_tips(messages(spark, sf), symbols(spark, sf)).drop("raw_text"), "tips")
     named = tips.where("ticker IS NOT NULL").select("ticker", "channel_id", "posted_at")
     return P.score_tips(tips, _market_side(spark, sf), B.burst_stats(named, WATCH_AS_OF))
 
