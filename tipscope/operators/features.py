@@ -27,44 +27,55 @@ LIQUIDITY_EDGES = (100.0, 1000.0, 10000.0)
 LIQUIDITY_LABELS = ("micro", "small", "mid", "large")
 
 
-def trailing_return(close: Column, sessions: int, w: WindowSpec) -> Column:
-    return close / F.nullif(F.lag(close, sessions).over(w), F.lit(0.0)) - 1.0
+# Each windowed feature comes as a pair: the window columns it needs, and its value made from
+# them. The window columns are added first, so each is computed once however often a value
+# mentions it.
 
 
-def volume_zscore(volume: Column, w: WindowSpec, *, sessions: int = 60,
-                  min_periods: int = 20, whole_numbers: bool = False) -> Column:
+def trailing_return(close: str, sessions: int, w: WindowSpec) -> tuple[dict[str, Column], Column]:
+    before = f"_{close}_{sessions}"
+    return ({before: F.lag(close, sessions).over(w)},
+            F.col(close) / F.nullif(F.col(before), F.lit(0.0)) - 1.0)
+
+
+def volume_zscore(volume: str, w: WindowSpec, *, sessions: int = 60, min_periods: int = 20,
+                  whole_numbers: bool = False) -> tuple[dict[str, Column], Column]:
     """Today's volume against the sessions before it; a flat baseline has no z-score.
 
     Whole-number volumes use differences of running sums, which cost the same for any frame
     length. The sums are decimals: exact, so a flat baseline shows a scatter of exactly zero.
     """
-    if not whole_numbers:
-        prior = w.rowsBetween(-sessions, -1)
-        n, mean = F.count(volume).over(prior), F.avg(volume).over(prior)
-        spread = F.stddev_samp(volume).over(prior)
-    else:
-        def prior_sum(value: Column) -> Column:
-            until = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-            before = F.sum(value).over(
-                w.rowsBetween(Window.unboundedPreceding, -sessions - 1))
-            return F.coalesce(until, F.lit(0)) - F.coalesce(before, F.lit(0))
-
-        exact = volume.cast("decimal(18,0)")
-        n = prior_sum(F.when(volume.isNotNull(), 1).otherwise(0))
-        total, squares = prior_sum(exact), prior_sum(exact * exact)
-        count = n.cast("double")
-        scatter = (n.cast("decimal(10,0)") * squares - total * total).cast("double")
-        mean = total.cast("double") / F.nullif(count, F.lit(0.0))
+    today = F.col(volume)
+    if whole_numbers:
+        exact = today.cast("decimal(18,0)")
+        summed = {"n": F.when(today.isNotNull(), 1).otherwise(0), "s": exact, "q": exact * exact}
+        frames = {"until": w.rowsBetween(Window.unboundedPreceding, -1),
+                  "before": w.rowsBetween(Window.unboundedPreceding, -sessions - 1)}
+        needs = {f"_v{k}_{end}": F.sum(value).over(frame)
+                 for k, value in summed.items() for end, frame in frames.items()}
+
+        def prior(k: str) -> Column:
+            return F.coalesce(f"_v{k}_until", F.lit(0)) - F.coalesce(f"_v{k}_before", F.lit(0))
+
+        n, count = prior("n"), prior("n").cast("double")
+        scatter = (n.cast("decimal(10,0)") * prior("q") - prior("s") * prior("s")).cast("double")
+        mean = prior("s").cast("double") / F.nullif(count, F.lit(0.0))
         spread = F.sqrt(scatter / F.nullif(count * (count - 1.0), F.lit(0.0)))
-    return F.when((n >= min_periods) & (spread > 0.0),
-                  (volume.cast("double") - mean) / F.nullif(spread, F.lit(0.0)))
+    else:
+        frame = w.rowsBetween(-sessions, -1)
+        needs = {"_vn": F.count(volume).over(frame), "_vm": F.avg(volume).over(frame),
+                 "_vd": F.stddev_samp(volume).over(frame)}
+        n, mean, spread = F.col("_vn"), F.col("_vm"), F.col("_vd")
+    value = F.when((n >= min_periods) & (spread > 0.0),
+                   (today.cast("double") - mean) / F.nullif(spread, F.lit(0.0)))
+    return needs, value
 
 
-def change_from_mean(value: Column, w: WindowSpec, *, sessions: int = 10,
-                     min_periods: int = 3) -> Column:
+def change_from_mean(value: str, w: WindowSpec, *, sessions: int = 10,
+                     min_periods: int = 3) -> tuple[dict[str, Column], Column]:
     prior = w.rowsBetween(-sessions, -1)
-    return F.when(F.count(value).over(prior) >= min_periods,
-                  value - F.avg(value).over(prior))
+    return ({"_dn": F.count(value).over(prior), "_dm": F.avg(value).over(prior)},
+            F.when(F.col("_dn") >= min_periods, F.col(value) - F.col("_dm")))
 
 
 def locked_up(high: Column, low: Column, close: Column, prev_close: Column) -> Column:
@@ -72,14 +83,20 @@ def locked_up(high: Column, low: Column, close: Column, prev_close: Column) -> C
     return F.coalesce((high == low) & (close > prev_close), F.lit(False))
 
 
-def trailing_median(value: Column, w: WindowSpec, *, sessions: int = 20,
-                    min_periods: int = 5) -> Column:
+def trailing_count(flag: str, w: WindowSpec, *, sessions: int = 10
+                   ) -> tuple[dict[str, Column], Column]:
+    frame = w.rowsBetween(-(sessions - 1), 0)
+    return {"_lc": F.sum(F.col(flag).cast("bigint")).over(frame)}, F.col("_lc")
+
+
+def trailing_median(value: str, w: WindowSpec, *, sessions: int = 20,
+                    min_periods: int = 5) -> tuple[dict[str, Column], Column]:
     frame = w.rowsBetween(-(sessions - 1), 0)
-    ordered = F.sort_array(F.collect_list(value).over(frame))
-    n = F.size(ordered)
-    middle = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    other = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    return F.when(n >= min_periods, (middle + other) / 2.0)
+    n = F.size("_values")
+    middle = F.try_element_at("_values", F.floor((n + 1) / 2).cast("int"))
+    other = F.try_element_at("_values", (F.floor(n / 2) + 1).cast("int"))
+    return ({"_values": F.sort_array(F.collect_list(value).over(frame))},
+            F.when(n >= min_periods, (middle + other) / 2.0))
 
 
 def liquidity_bucket(median: Column) -> Column:
@@ -92,19 +109,28 @@ def liquidity_bucket(median: Column) -> Column:
 def with_features(blocks: DataFrame, w: WindowSpec) -> DataFrame:
     """Add every windowed feature."""
     whole = dict(blocks.dtypes)["total_traded_qty"] in ("bigint", "int", "smallint")
-    close, delivery = finite("close"), finite("deliv_pct")
-    volume = F.col("total_traded_qty") if whole else finite("total_traded_qty")
-    locked = locked_up(finite("high"), finite("low"), close, finite("prev_close"))
-    return blocks.withColumns({
-        "runup_5d": trailing_return(close, 5, w),
-        "runup_10d": trailing_return(close, 10, w),
-        "runup_20d": trailing_return(close, 20, w),
-        "volume_zscore_60d": volume_zscore(volume, w, whole_numbers=whole),
-        "delivery_pct": delivery,
-        "delivery_pct_trend_10d": change_from_mean(delivery, w),
-        "upper_circuit_count_10d": F.sum(locked.cast("bigint")).over(w.rowsBetween(-9, 0)),
-        "trailing_median_turnover_20d": trailing_median(finite("turnover_lacs"), w),
+    inputs = blocks.withColumns({
+        "_close": finite("close"), "_delivery": finite("deliv_pct"),
+        "_turnover": finite("turnover_lacs"),
+        "_volume": F.col("total_traded_qty") if whole else finite("total_traded_qty"),
+        "_locked": locked_up(finite("high"), finite("low"), finite("close"),
+                             finite("prev_close")),
     })
+    features = {
+        "runup_5d": trailing_return("_close", 5, w),
+        "runup_10d": trailing_return("_close", 10, w),
+        "runup_20d": trailing_return("_close", 20, w),
+        "volume_zscore_60d": volume_zscore("_volume", w, whole_numbers=whole),
+        "delivery_pct": ({}, F.col("_delivery")),
+        "delivery_pct_trend_10d": change_from_mean("_delivery", w),
+        "upper_circuit_count_10d": trailing_count("_locked", w),
+        "trailing_median_turnover_20d": trailing_median("_turnover", w),
+    }
+    windowed = inputs.withColumns(
+        {name: column for needs, _ in features.values() for name, column in needs.items()})
+    return windowed.select(
+        *[F.col(c) for c in blocks.columns],
+        *[value.alias(name) for name, (_, value) in features.items()])
 
 
 def finish_features(windowed: DataFrame, extra: list[str] | None = None) -> DataFrame:
