@@ -16,6 +16,9 @@ def local_session(cores: str = "*", *, shuffle_partitions: int = 8, app: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # The JVM does not compile methods of more than 8000 bytes; past that, generated code
+        # in smaller pieces is faster than one method that stays interpreted.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
     )
