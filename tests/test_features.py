@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tipscope.operators import sessions
-from tipscope.operators.features import FEATURE_COLUMNS, market_features
+from tipscope.operators.features import FEATURE_COLUMNS, market_features, newest_features
+from tipscope.operators.latest import latest_features
 from tipscope.operators.sessions import cut_blocks, number_sessions
 
 SCHEMA = ("exchange string, symbol string, series string, trade_date date, close double, "
@@ -214,3 +215,13 @@ def test_every_session_is_once_its_own_and_copies_reach_far_enough(spark):
         first, last = s.block * 128 + 1, min(1000, s.block * 128 + 128)
         assert s.a == max(1, first - 60) and s.b == min(1000, last + 60)
         assert s.n == s.b - s.a + 1
+
+
+@pytest.mark.parametrize("n", [21, 60, 61, 62, 150])
+def test_newest_features_equal_the_last_stored_ones(spark, n, monkeypatch):
+    monkeypatch.setattr(sessions.cut_blocks, "__kwdefaults__",
+                        {"back": 0, "ahead": 0, "block": 64})
+    both = noisy(spark, n).unionByName(
+        noisy(spark, n - 1, seed=9).withColumn("symbol", F.lit("XYZ")))
+    want = rows(latest_features(market_features(both)))
+    assert list(map(repr, rows(newest_features(both)))) == list(map(repr, want))

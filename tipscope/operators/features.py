@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tipscope.functions.coerce import finite
+from tipscope.operators.latest import latest_features
 from tipscope.operators.sessions import block_window, cut_blocks, number_sessions
 from tipscope.schemas import SECURITY_KEY, SESSION_KEY, require_columns
 
@@ -145,6 +146,14 @@ def finish_features(windowed: DataFrame, extra: list[str] | None = None) -> Data
     )
 
 
+def _numbered(prices: DataFrame, symbols: DataFrame | None, min_history: int) -> DataFrame:
+    require_columns(prices, [*SECURITY_KEY, *REQUIRED_COLUMNS], "price history")
+    if "is_sme" not in prices.columns:
+        prices = prices.withColumn("is_sme", F.lit(False))
+    used = prices.select(*SECURITY_KEY, *REQUIRED_COLUMNS, "is_sme")
+    return number_sessions(used, symbols).where(F.col("sessions") >= min_history)
+
+
 def market_features(prices: DataFrame, symbols: DataFrame | None = None, *,
                     min_history: int = MIN_HISTORY, only: list[str] | None = None) -> DataFrame:
     """Features of all sessions of all securities with at least ``min_history`` sessions.
@@ -153,12 +162,20 @@ def market_features(prices: DataFrame, symbols: DataFrame | None = None, *,
     without it the listing age is missing. The look-back copies of a block are dropped at the
     end, so each session comes out once.
     """
-    require_columns(prices, [*SECURITY_KEY, *REQUIRED_COLUMNS], "price history")
-    if "is_sme" not in prices.columns:
-        prices = prices.withColumn("is_sme", F.lit(False))
-    used = prices.select(*SECURITY_KEY, *REQUIRED_COLUMNS, "is_sme")
-    numbered = number_sessions(used, symbols).where(F.col("sessions") >= min_history)
-    blocks = cut_blocks(numbered, back=LOOK_BACK)
+    blocks = cut_blocks(_numbered(prices, symbols, min_history), back=LOOK_BACK)
     windowed = with_features(blocks, block_window()).where(~F.col("is_copy"))
     features = finish_features(windowed)
     return features if only is None else features.select(*SESSION_KEY, *only)
+
+
+def newest_features(prices: DataFrame, symbols: DataFrame | None = None, *,
+                    min_history: int = MIN_HISTORY) -> DataFrame:
+    """``latest_features(market_features(...))`` straight from prices.
+
+    Only the sessions that a security's last session looks back to go through the windows.
+    """
+    numbered = _numbered(prices, symbols, min_history)
+    recent = numbered.where(F.col("session") >= F.col("sessions") - LOOK_BACK)
+    windowed = with_features(cut_blocks(recent, back=LOOK_BACK), block_window()).where(
+        ~F.col("is_copy") & (F.col("session") == F.col("sessions")))
+    return latest_features(finish_features(windowed))

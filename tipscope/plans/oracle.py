@@ -537,6 +537,7 @@ SELECT CAST(bin AS INT) AS bin, round(bin * 0.1, 6)::DOUBLE AS bin_lo,
                               "round(quantile_cont(p, 0.99), 6) AS p99, round(max(p), 6) AS max "
                               "FROM scores",
     }
+    sql["daily_files"] = sql["typed_daily_rows"]
     sql["score_replies"] = _replies()
     sql["name_similarity"] = _name_similarity()
     return sql

@@ -85,9 +85,8 @@ def features(spark: SparkSession, sf: str, only: list[str] | None = None) -> Dat
 
 # --- sources -------------------------------------------------------------------------------
 
-@query
-def typed_daily_rows(spark, sf):
-    """Raw text fields with blanks, placeholders and bad dates to typed price rows."""
+def _raw_daily_rows(spark, sf):
+    """Text fields with blanks, placeholders and bad dates, from the line items."""
     li = driver_table(spark, sf, "lineitem")
     text = {
         "SYMBOL": F.concat(F.lit("  S"), F.col("l_suppkey").cast("string"), F.lit(" ")),
@@ -103,10 +102,11 @@ def typed_daily_rows(spark, sf):
             F.col("l_quantity").cast("int").cast("string")),
         "DELIV_PER": F.when(F.col("l_returnflag") == "N", "").otherwise("12.5"),
     }
-    raw = li.select(*[
-        text.get(name, F.lit("1e2")).alias(name) for name in XF.DAILY_COLUMNS
-    ], F.lit("driver").alias("source_file"))
-    typed = XF.type_daily_rows(raw)
+    return li.select(*[
+        text.get(name, F.lit("1e2")).alias(name) for name in XF.DAILY_COLUMNS])
+
+
+def _daily_totals(typed):
     return typed.groupBy("exchange", "symbol", "series", "trade_date", "is_sme").agg(
         F.count("*").alias("n_rows"), F.count("prev_close").alias("n_prev"),
         F.sum(F.col("close").cast("decimal(18,2)")).cast("double").alias("sum_close"),
@@ -115,6 +115,22 @@ def typed_daily_rows(spark, sf):
         F.max("avg_price").alias("avg_price"))
 
 
+@query
+def typed_daily_rows(spark, sf):
+    """Raw text rows to typed price rows, by security and date."""
+    raw = _raw_daily_rows(spark, sf).withColumn("source_file", F.lit("driver"))
+    return _daily_totals(XF.type_daily_rows(raw))
+
+
+@query
+def daily_files(spark, sf):
+    """The same rows through CSV files."""
+    folder = scratch_path(spark, "daily-files")
+    _raw_daily_rows(spark, sf).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    return _daily_totals(XF.read_daily_prices(spark, folder))
+
+
 @query
 def typed_symbol_master(spark, sf):
     """Two untyped masters with different columns, typed and put together."""
@@ -273,7 +289,7 @@ def listing_age(spark, sf):
 
 @query
 def latest_features(spark, sf):
-    return rounded(L.latest_features(features(spark, sf)))
+    return rounded(FE.newest_features(prices(spark, sf), symbols(spark, sf)))
 
 
 @query
@@ -428,7 +444,7 @@ def name_similarity(spark, sf):
 
 def _market_side(spark, sf):
     """Newest features with a stand-in probability, so scores can be checked in SQL."""
-    latest = L.latest_features(features(spark, sf))
+    latest = FE.newest_features(prices(spark, sf), symbols(spark, sf))
     p = F.least(F.lit(1.0), F.greatest(
         F.lit(0.0), F.coalesce(F.col("runup_20d") / 2.0 + 0.25, F.lit(0.0))))
     return latest.withColumn("susceptibility", F.bround(p, 4))
@@ -540,7 +556,7 @@ def _small_model(spark, sf):
 @query
 def model_scores(spark, sf):
     """Calibrated probability of every symbol's newest features."""
-    latest = L.latest_features(features(spark, sf))
+    latest = FE.newest_features(prices(spark, sf), symbols(spark, sf))
     return ML.score_latest(_small_model(spark, sf), latest).select(
         *SESSION_KEY, "susceptibility")
 
