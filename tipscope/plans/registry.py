@@ -237,12 +237,14 @@ def upsert_latest(spark, sf):
 
 @query
 def serving_store(spark, sf):
-    return rounded(L.serving_features(features(spark, sf), 90))
+    stored = materialize(features(spark, sf), "features")
+    return rounded(L.serving_features(stored, 90))
 
 
 @query
 def store_summary(spark, sf):
-    return L.store_summary(L.serving_features(features(spark, sf), 90))
+    stored = materialize(features(spark, sf).select("trade_date"), "feature-dates")
+    return L.store_summary(L.serving_features(stored, 90))
 
 
 # --- market features and labels --------------------------------------------------------------
