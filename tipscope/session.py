@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +31,33 @@ def local_session(cores: str = "*", *, shuffle_partitions: int = 8, app: str = "
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once for each Spark context.
+
+    Functions that run in workers are found there by import; without this they are found only if
+    the package is installed or on the workers' path.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_tipscope_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="tipscope-code-"), "tipscope.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(os.path.join(root, "tipscope")):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, root))
+        context.addPyFile(archive)  # a driver's file that Spark itself serves to all executors
+        context._tipscope_shipped = True
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (a bare local test run) is a temporary one made and
-    registered, so executors of a real cluster never depend on one machine's disk.
+    Only a session on one machine (``local[...]``) may go without it; then a temporary folder is
+    made and registered. Elsewhere executors would each write to a disk of their own, so a missing
+    setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -41,6 +65,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tipscope-")
     spark.sparkContext.setCheckpointDir(made)
     return made
