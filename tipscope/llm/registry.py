@@ -69,3 +69,7 @@ def queries():
         op1_interpolated_scores, op2_quality_votes, op3_url_verdicts, op4_spliced_counts,
         op5_jaccard_components, op6_tree_bpe, op7_secret_spans, op8_retrieval_packing,
         op9_subword_scores, op10_learned_partitions)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
