@@ -13,16 +13,19 @@ and thus the memory of a task have a fixed size; only their number follows the c
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipscope.llm.common import GOLDEN, WordKeys, id_remainder, lower_ascii_words, mix, total_chars
+from tipscope.llm.common import GOLDEN, WordKeys, id_remainder, mix, total_chars
 from tipscope.session import materialize
 
-UNIT_CHARS = 8_000_000
+#: Characters of a unit's texts, and of the corpus for each shard.
+UNIT_CHARS, SHARD_CHARS = 2_000_000, 8_000_000
 BUCKETS = 40
 ESTIMATE, TUNE, APART = 0, 1, 2
 # Low bits of a key: what kind of n-gram it is.
@@ -34,11 +37,36 @@ SCORES = ("doc_id long, n_tokens long, n_known long, train_tokens long, base_sco
           "score double")
 
 
+def _bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a unit in one batch become one row with their texts compressed together: texts are
+    what is shuffled most."""
+    pack = zstandard.ZstdCompressor(3)
+    for batch in batches:
+        rows = []
+        for (unit, role), group in batch.groupby(["unit", "role"], sort=False):
+            texts = [(t or "").encode("utf-8") for t in group["text"]]
+            ids = [None if pd.isna(i) else int(i) for i in group["doc_id"]]
+            rows.append((unit, role, ids, [len(t) for t in texts], pack.compress(b"".join(texts))))
+        yield pd.DataFrame(rows, columns=["unit", "role", "ids", "sizes", "texts"])
+
+
+BUNDLES = "unit long, role int, ids array<long>, sizes array<int>, texts binary"
+
+
+def _texts(bundles: pd.DataFrame) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    for sizes, block in zip(bundles["sizes"], bundles["texts"]):
+        whole, at = unpack.decompress(block), 0
+        for size in sizes:
+            yield whole[at:at + size]
+            at += size
+
+
 def _keys(texts, known: WordKeys) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Unigram, context and bigram key of each token of the texts, and the texts' lengths."""
     parts, lengths = [], []
     for text in texts:
-        words = known.array(lower_ascii_words(text))
+        words = known.array(text.lower().split())
         parts += [words, np.array([_END])]
         lengths.append(len(words) + 1)
     token = np.concatenate(parts) if parts else np.empty(0, np.uint64)
@@ -67,25 +95,40 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Six low bytes of each key; the two high ones follow from shard and order in all but a
-    share of shard size / 2^46 of the keys."""
-    return np.ascontiguousarray(keys).view(np.uint16).reshape(-1, 4)[:, :3].tobytes()
+    """Sorted keys of one shard, cut to 48 bits: the first one, then the steps from each to the
+    next in as many bytes as the largest step needs. The bits that are cut off are fixed by the
+    shard and the order, in all but about (keys of a shard) / 2^46 of the cases."""
+    low = keys & np.uint64((1 << 48) - 1)
+    steps = low[1:] - low[:-1] & np.uint64((1 << 48) - 1)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 1
+    packed = steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + int(low[0]).to_bytes(6, "little") + packed
 
 
 def _unpack(block: bytes) -> np.ndarray:
-    out = np.zeros((len(block) // 6, 4), np.uint16)
-    out[:, :3] = np.frombuffer(block, np.uint16).reshape(-1, 3)
-    return out.view(np.uint64).ravel()
+    width = block[0]
+    steps = np.zeros(((len(block) - 7) // width + 1, 8), np.uint8)
+    steps[0, :6] = np.frombuffer(block, np.uint8, 6, 1)
+    steps[1:, :width] = np.frombuffer(block, np.uint8, offset=7).reshape(-1, width)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) & np.uint64((1 << 48) - 1)
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype(np.uint32).tobytes(), 1)
+
+
+def _numbers(block: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(block), np.uint32)
 
 
 def _requests(shards: int):
     def request(group: pd.DataFrame) -> pd.DataFrame:
-        unigram, before, bigram, lengths = _keys(group["text"], WordKeys())
+        unigram, before, bigram, lengths = _keys(_texts(group), WordKeys())
         keys, counts = _distinct(unigram, before, bigram, len(lengths))
         cuts = np.flatnonzero(np.diff(_shard(keys, shards))) + 1
         unit, role = int(group["unit"].iloc[0]), int(group["role"].iloc[0])
-        blocks = zip(np.split(keys, cuts), np.split(counts.astype(np.uint32), cuts))
-        rows = [(unit, role, int(_shard(k[:1], shards)[0]), _pack(k), c.tobytes())
+        blocks = zip(np.split(keys, cuts), np.split(counts, cuts))
+        rows = [(unit, role, int(_shard(k[:1], shards)[0]), _pack(k), _small(c))
                 for k, c in blocks if len(k)]
         return pd.DataFrame(rows, columns=["unit", "role", "shard", "keys", "counts"])
     return request
@@ -96,7 +139,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     among all training texts; one more row (unit -1) with the shard's tokens and word types."""
     group = group.sort_values("unit")
     blocks = [_unpack(b) for b in group["keys"]]
-    counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group["counts"]])
+    counts = np.concatenate([_numbers(b) for b in group["counts"]])
     sizes = np.array([len(b) for b in blocks])
     role = np.repeat(group["role"].to_numpy(), sizes)
     keys, at = np.unique(np.concatenate(blocks), return_inverse=True)
@@ -104,7 +147,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     train = np.bincount(at, counts * (role != APART), len(keys)).astype(np.uint32)
     word = (keys & np.uint64(3)) == UNIGRAM
     cuts = np.cumsum(sizes)[:-1]
-    rows = [(unit, shard, e.tobytes(), t.tobytes(), 0, 0, 0, 0)
+    rows = [(unit, shard, _small(e), _small(t), 0, 0, 0, 0)
             for unit, shard, e, t in zip(group["unit"], group["shard"],
                                          np.split(estimate[at], cuts), np.split(train[at], cuts))]
     rows.append((-1, group["shard"].iloc[0], b"", b"",
@@ -121,10 +164,10 @@ ANSWERS = ("unit long, shard int, estimate binary, train binary, estimate_tokens
 def _looked_up(docs: pd.DataFrame, answers: pd.DataFrame, column: str):
     """Counts of word, context and pair of each token; and the texts' lengths. Shards are ranges
     of keys, so the answers in their order line up with the sorted distinct keys."""
-    unigram, before, bigram, lengths = _keys(docs["text"], WordKeys())
+    unigram, before, bigram, lengths = _keys(_texts(docs), WordKeys())
     keys, _ = _distinct(unigram, before, bigram, len(lengths))
     blocks = answers.sort_values("shard")[column]
-    totals = np.concatenate([np.frombuffer(b, np.uint32) for b in blocks]).astype(np.int64)
+    totals = np.concatenate([_numbers(b) for b in blocks]).astype(np.int64)
     return (*(totals[np.searchsorted(keys, k)] for k in (unigram, before, bigram)), lengths)
 
 
@@ -196,7 +239,8 @@ def _scores(weights: np.ndarray, tokens: int, types: int):
         starts = np.cumsum(lengths) - lengths
         base = np.log10((word + 1.0) / (tokens + types + 1.0))
         return pd.DataFrame({
-            "doc_id": docs["doc_id"].astype("Int64"), "n_tokens": lengths,
+            "doc_id": pd.array([None if pd.isna(i) else i for ids in docs["ids"] for i in ids],
+                               "Int64"), "n_tokens": lengths,
             "n_known": np.add.reduceat((word > 0).astype(np.int64), starts),
             "train_tokens": tokens, "base_score": np.add.reduceat(base, starts),
             "score": np.add.reduceat(np.log10(p), starts)})[columns]
@@ -204,7 +248,7 @@ def _scores(weights: np.ndarray, tokens: int, types: int):
 
 
 def interpolated_scores(docs: DataFrame, *, parts: int = 7, apart: int = 2, tune: int = 3,
-                        unit_chars: int = UNIT_CHARS) -> DataFrame:
+                        unit_chars: int = UNIT_CHARS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Log10 probability of every whole text of ``docs`` (doc_id, text).
 
     Documents whose crc32(doc_id as text) mod ``parts`` is ``apart`` teach nothing. Of the others,
@@ -219,16 +263,16 @@ def interpolated_scores(docs: DataFrame, *, parts: int = 7, apart: int = 2, tune
     the uniform part, 1; other columns are ignored.
     """
     chars = total_chars(docs)
-    n = max(1, math.ceil(chars / unit_chars))
+    n, shards = (max(1, math.ceil(chars / size)) for size in (unit_chars, shard_chars))
     remainder = id_remainder("doc_id", parts)
     role = (F.when(remainder == apart, APART).when(remainder == tune, TUNE).otherwise(ESTIMATE))
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         role.cast("int").alias("role"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("unit"),
-    ).withColumn("unit", F.col("unit") * 3 + F.col("role"))
+    ).withColumn("unit", F.col("unit") * 3 + F.col("role")).mapInPandas(_bundled, BUNDLES)
     requests = dealt.groupBy("unit").applyInPandas(
-        _requests(n), "unit long, role int, shard int, keys binary, counts binary")
+        _requests(shards), "unit long, role int, shard int, keys binary, counts binary")
     answers = materialize(requests.groupBy("shard").applyInPandas(_answer, ANSWERS), "ngrams")
     sums = answers.where("unit < 0").agg(*[
         F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in
@@ -243,6 +287,8 @@ def interpolated_scores(docs: DataFrame, *, parts: int = 7, apart: int = 2, tune
     )
     weights = learn_weights(materialize(held, "heldout"), sums["estimate_tokens"],
                             sums["estimate_types"])
+    if not sums["train_tokens"]:
+        weights[:] = (1.0, 0.0, 0.0)
     scored = dealt.groupBy("unit").cogroup(replies.drop("estimate").groupBy("unit")).applyInPandas(
         _scores(weights, sums["train_tokens"], sums["train_types"]), SCORES)
     return scored.select("doc_id", (id_remainder("doc_id", parts) == apart).alias("held_out"),

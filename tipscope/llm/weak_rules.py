@@ -21,14 +21,15 @@ RULES = {
     "length": ("n_words", 50, 100_000, 20, 1_000_000),
     "word_length": ("mean_word", 3.5, 6.5, 3.0, 7.5),
     "symbols": ("symbol_share", 0.0, 0.02, -1.0, 0.1),
-    "same_lines": ("dup_line_share", 0.0, 0.1, -1.0, 0.3),
+    "same_lines": ("dup_line_share", 0.0, 0.25, -1.0, 0.4),
     "repeats": ("repeat_share", 0.0, 0.1, -1.0, 0.3),
     "capitals": ("capital_share", 0.0, 0.1, -1.0, 0.3),
     "variety": ("distinct_share", 0.5, 1.0, 0.3, 2.0),
 }
 ROUNDS = 25
-# Start of the estimation: votes are mostly right, bad votes are rare among good texts.
-START = {"share": 0.8, "good": (0.15, 0.8, 0.05), "bad": (0.2, 0.4, 0.4)}
+# Start of the estimation, as chances of (abstain, good, bad): bad votes are rare among good texts,
+# and a text with a single bad vote is about as likely to be bad as good.
+START = {"share": 0.7, "good": (0.09, 0.9, 0.01), "bad": (0.15, 0.65, 0.2)}
 SMOOTH = 1.0
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
