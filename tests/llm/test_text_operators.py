@@ -210,7 +210,7 @@ def mixed_quality(n=150):
     good = [" ".join(f"{w}{k % 7}" if k % 3 else w for k, w in enumerate((t + " ") .split()))
             for t in good if len(t.split()) > 60]
     bad = [" ".join(w + "***" for w in t.split()) for t in good[:20]]
-    bad += [t.upper() for t in good[20:35]]
+    bad += [" ".join(w.upper() + "!!" for w in t.split()) for t in good[20:35]]
     return good, bad
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tipscope.llm import (interpolation, learned_partitions, retrieval_packing, secret_scan,
                           set_join, spliced_counts, subword_classifier, tree_bpe, url_cascade,
                           weak_rules)
+from tipscope.llm import checking_sql
 from tipscope.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
@@ -72,4 +73,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_votes": checking_sql.quality_votes(),
+            "op3_url_verdicts": checking_sql.URL_VERDICTS,
+            "op5_jaccard_components": checking_sql.jaccard_components(3, 90)}

@@ -25,6 +25,7 @@ RULES = {
     "repeats": ("repeat_share", 0.0, 0.1, -1.0, 0.3),
     "capitals": ("capital_share", 0.0, 0.1, -1.0, 0.3),
     "variety": ("distinct_share", 0.5, 1.0, 0.3, 2.0),
+    "marks": ("mark_share", 0.0, 0.4, -1.0, 0.8),
 }
 ROUNDS = 25
 # Start of the estimation, as chances of (abstain, good, bad): bad votes are rare among good texts,
@@ -32,6 +33,7 @@ ROUNDS = 25
 START = {"share": 0.7, "good": (0.09, 0.9, 0.01), "bad": (0.15, 0.65, 0.2)}
 SMOOTH = 1.0
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 
 
 def repeated_words(words: Column) -> Column:
@@ -78,6 +80,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size("_lines").cast("long").alias("_n_lines"),
         (F.length("_text") - F.length(F.translate("_text", CAPITALS, ""))).alias("_capitals"),
         F.size(F.array_distinct("_words")).alias("_distinct"),
+        (F.length("_text") - F.length(F.translate("_text", MARKS, ""))).alias("_marks"),
     )
 
     def share(part: str, whole: str) -> Column:
@@ -92,6 +95,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         share("n_repeat_words", "n_words").alias("repeat_share"),
         share("_capitals", "word_chars").alias("capital_share"),
         share("_distinct", "n_words").alias("distinct_share"),
+        share("_marks", "n_words").alias("mark_share"),
     )
 
 
@@ -148,7 +152,9 @@ def judged(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Rows of a stored ``measured`` table with base_failed, p_good and kept."""
     voted = votes(rows)
     names = [f"_vote_{name}" for name in RULES]
-    patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes")
+    # Texts that fail the base rule are out already; the model is fitted to those it decides on.
+    patterns = materialize(voted.where(~base_failed()).groupBy(*names).agg(
+        F.count("*").alias("n")).coalesce(1), "votes")
     share, chance = learn(patterns, rounds)
     return (
         voted.withColumn("base_failed", base_failed())
@@ -163,8 +169,8 @@ def quality_votes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Runs jobs while it is built (the counts are stored once, then the rounds of estimation).
     Defined cases: a null or empty text has no words, fails the base rule and is not kept; a null
-    id comes back null; repeated rows are judged each and count each in the estimation; an empty
-    table gives no rows; other columns are ignored.
+    id comes back null; repeated rows are judged each and count each in the estimation, which
+    leaves out texts that fail the base rule; an empty table gives no rows; other columns are ignored.
     """
     stored = materialize(measured(docs.select(F.col("doc_id"), F.col("text")), ["doc_id"]),
                          "measures")
