@@ -73,6 +73,15 @@ def _summaries(words: int):
     return run
 
 
+def _packed_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All (bucket, n) of a task in one row of two packed arrays: the driver gets bytes, not rows."""
+    parts = list(batches)
+    if parts:
+        whole = pd.concat(parts)
+        yield pd.DataFrame({"buckets": [whole["bucket"].to_numpy().astype("<u4").tobytes()],
+                            "counts": [whole["n"].to_numpy().astype("<i8").tobytes()]})
+
+
 def _prefixes(words: int, percent: int, order):
     """Index entries (class, n, place, shingle) of each set's prefix."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,8 +196,9 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     rows = summaries.where("bucket < 0").drop("bucket")
     counts = summaries.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = np.zeros(1 << SKETCH_BITS, np.int64)
-    found = counts.toPandas()  # at most 2 ** SKETCH_BITS rows
-    table[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    # At most 2 ** SKETCH_BITS numbers.
+    for row in counts.mapInPandas(_packed_counts, "buckets binary, counts binary").collect():
+        table[np.frombuffer(row["buckets"], "<u4")] = np.frombuffer(row["counts"], "<i8")
     # Ranks instead of counts: only the order matters, and 32 bits hold it at any scale.
     order = spark.sparkContext.broadcast(np.unique(table, return_inverse=True)[1].astype(np.int32))
 

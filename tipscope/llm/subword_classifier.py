@@ -102,14 +102,15 @@ def fit(texts: list[str], labels: np.ndarray, *, epochs: int = EPOCHS, rate: flo
     if not counts.all():
         bias[:] = np.where(counts > 0, 2.0, 0.0)
         return Model(vectors, weights, bias)
-    seen: dict[bytes, list[int]] = {}
+    seen: dict[bytes, np.ndarray] = {}
 
     def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         words, repeats = words_with_marks(text)
-        parts = [seen.get(w) or seen.setdefault(w, word_features(w, buckets)) for w in words]
-        parts += [seen.setdefault(AGAIN, word_features(AGAIN, buckets))] * repeats
-        rows = np.fromiter((f for p in parts for f in p), np.int64)
-        return np.unique(rows, return_counts=True)
+        for word in {AGAIN, *words}.difference(seen):
+            seen[word] = np.array(word_features(word, buckets), np.int32)
+        parts = [seen[w] for w in words] + [seen[AGAIN]] * repeats
+        rows, n = np.unique(np.concatenate(parts or [np.empty(0, np.int32)]), return_counts=True)
+        return rows, n.astype(np.int32)
 
     docs = [features(t) for t in texts]
     seen.clear()
