@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tipscope.operators.latest import latest_version, one_per_key
-from tipscope.operators.skew import hot_keys, key_counts, lookup_join, skew_join
+from tipscope.operators.skew import hot_keys, key_counts, skew_join
 
 
 def sides(spark):
@@ -18,17 +18,26 @@ def test_same_rows_as_a_plain_join(spark):
     big, small = sides(spark)
     for how in ("left", "inner"):
         want = sorted(map(repr, big.join(small, "key", how).select("id", "key", "value").collect()))
-        for got in (skew_join(big, small, "key", spread_by=["id"], how=how),
-                    lookup_join(big, small, "key", spread_by=["id"], how=how, limit=3)):
-            assert sorted(map(repr, got.select("id", "key", "value").collect())) == want
+        got = skew_join(big, small, "key", spread_by=["id"], how=how)
+        assert sorted(map(repr, got.select("id", "key", "value").collect())) == want
 
 
-def test_hot_rows_are_dealt_over_buckets(spark):
+def test_hot_rows_are_dealt_by_the_share_of_the_key(spark):
     big, small = sides(spark)
-    assert [r.key for r in hot_keys(key_counts(big, "key"), "key").collect()] == ["hot"]
-    spread = big.where("key = 'hot'").select(
-        F.pmod(F.xxhash64("id"), F.lit(64)).alias("b")).groupBy("b").count()
-    assert spread.count() == 64 and spread.agg(F.max("count")).first()[0] < 60
+    hot = hot_keys(key_counts(big, "key"), "key").collect()
+    keyed = big.where("key IS NOT NULL").count()
+    assert [(r.key, r._salts) for r in hot] == [("hot", -(-1000 * 1000 // keyed))]
+    every = hot_keys(key_counts(big.withColumn("key", F.lit("k")), "key"), "key").first()
+    assert every._salts == 1000
+
+
+def test_rows_without_a_key_go_around_the_join(spark):
+    big, small = sides(spark)
+    plan = skew_join(big, small, "key", spread_by=["id"])._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    assert text.startswith("Union")
+    around = text.split("+- Project")[-1]
+    assert "isnull" in around and "Join" not in around
 
 
 def test_number_of_hot_keys_is_bounded(spark):

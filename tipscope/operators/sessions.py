@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipscope.schemas import SECURITY_KEY
+from tipscope.session import materialize
 
 BLOCK_SESSIONS = 512
 
@@ -22,7 +23,10 @@ def number_sessions(prices: DataFrame, symbols: DataFrame | None = None) -> Data
     ``date_of_listing``. Ranks are taken inside (security, calendar year), which the table key
     bounds to 366 rows, and shifted by the sizes of the earlier years. The table of year sizes
     has one row per security and year; the symbol master is joined to that table and not to
-    the prices, so the price rows are shuffled once and never on the bare security.
+    the prices, so the price rows are never shuffled on the bare security.
+
+    The ranked rows are stored: the year sizes and the rows themselves read that table, so what
+    ``prices`` stands for is computed once. This runs a job while the plan is built.
     """
     year_key = [*SECURITY_KEY, "_year"]
     in_year = Window.partitionBy(*year_key).orderBy("trade_date")
@@ -30,6 +34,7 @@ def number_sessions(prices: DataFrame, symbols: DataFrame | None = None) -> Data
         prices.withColumn("_year", F.year("trade_date"))
         .withColumn("_rank", F.row_number().over(in_year))
     )
+    ranked = materialize(ranked, "ranked-prices")
     years = ranked.groupBy(*year_key).agg(
         F.count("*").alias("_in_year"),
         F.min_by("is_sme", "trade_date").alias("_year_sme"),
@@ -53,8 +58,8 @@ def number_sessions(prices: DataFrame, symbols: DataFrame | None = None) -> Data
             F.max("date_of_listing").alias("date_of_listing"))
         offsets = offsets.join(listed, SECURITY_KEY, "left")
     return (
-        # Merge join: the rows already lie sorted by year_key, so they are not moved again.
-        ranked.join(offsets.hint("merge"), year_key)
+        # One row for each security and year: broadcast when its measured size allows.
+        ranked.join(offsets, year_key)
         .withColumn("session", F.col("_before") + F.col("_rank"))
         .drop("_rank", "_before", "_year")
     )

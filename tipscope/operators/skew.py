@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than this share of the rows, so at most 1 / share keys are.
+# A hot key is dealt over as many buckets as it holds shares, so a bucket holds about one share.
 HOT_SHARE = 1.0 / 1000.0
-SALTS = 64
-# Row limit under which a lookup table may be broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -18,48 +16,39 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def hot_keys(counts: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the keyed rows: never more than ``1 / share`` rows."""
+    """(key, salts) of keys with more than ``share`` of the keyed rows: at most 1 / share rows."""
     total = counts.select(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
-    return counts.where(F.col("n_rows") > total * F.lit(share)).select(key)
+    limit = total * F.lit(share)
+    return counts.where(F.col("n_rows") > limit).select(
+        key, F.ceil(F.col("n_rows") / limit).cast("int").alias("_salts"))
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, *, spread_by: list[str | Column],
-              how: str = "left", counts: DataFrame | None = None, share: float = HOT_SHARE,
-              salts: int = SALTS) -> DataFrame:
-    """Join ``big`` with ``small`` (at most one row per key) on one key column.
-
-    Rows of a hot key are dealt over ``salts`` buckets by a hash of ``spread_by`` (columns that
-    tell the rows apart) and the one matching row of ``small`` is copied to each bucket. All
-    other keys keep one bucket, so ``small`` grows by at most ``salts / share`` rows. Rows
-    without a key cannot match and are dealt out the same way. The list of hot keys is bounded
-    by ``1 / share``, which is why it may be broadcast; ``small`` itself is left to the
-    optimizer, which broadcasts it only when its measured size allows. ``counts`` may pass in
-    known ``key_counts`` of ``big``.
+              how: str = "left", counts: DataFrame | None = None,
+              share: float = HOT_SHARE) -> DataFrame:
+    """Join ("left" or "inner") ``big`` with ``small`` (at most one row per key) on one key column.
+
+    Rows of a hot key are dealt over buckets by a hash of ``spread_by`` (columns that tell the
+    rows apart) and the one matching row of ``small`` is copied to each bucket. All other keys
+    keep one bucket, so ``small`` grows by at most ``2 / share`` rows. Rows without a key cannot
+    match: they never enter the join and are added after it. The list of hot keys is bounded by
+    ``1 / share``, which is why it may be broadcast; ``small`` itself is left to the optimizer,
+    which broadcasts it only when its measured size allows. ``counts`` may pass in known
+    ``key_counts`` of ``big``.
     """
     counts = key_counts(big, key) if counts is None else counts
-    hot = F.broadcast(hot_keys(counts, key, share).withColumn("_hot", F.lit(True)))
-    dealt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    hot = F.broadcast(hot_keys(counts, key, share))
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")
     left = (
-        big.join(hot, key, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), dealt).otherwise(0))
-        .drop("_hot")
+        big.where(F.col(key).isNotNull()).join(hot, key, "left")
+        .withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
     )
     right = (
-        small.join(hot, key, "left")
-        .withColumn("_salt", F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-            .otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        small.where(F.col(key).isNotNull()).join(hot, key, "left")
+        .withColumn("_salt", F.explode(F.sequence(
+            F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
-def lookup_join(big: DataFrame, small: DataFrame, key: str, *, spread_by: list[str | Column],
-                how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a lookup table that is cheap to count (a stored master, not a long plan).
-
-    Counted before it is broadcast; above ``limit`` rows the salted join takes over.
-    """
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), key, how)
-    return skew_join(big, small, key, spread_by=spread_by, how=how)
+    joined = left.join(right, [key, "_salt"], how).drop("_salt")
+    if how == "inner":
+        return joined
+    return joined.unionByName(big.where(F.col(key).isNull()), allowMissingColumns=True)
