@@ -34,6 +34,9 @@ from tipscope.session import materialize
 WORDS, PERCENT = 5, 80
 #: Buckets of the table of counts, a power of two: four bytes each, whatever the corpus.
 SKETCH_BITS = 20
+#: Bits of the filter that keeps texts out of a reread: its size is fixed. Where very many texts are
+#: wanted it lets more of the others through, which costs time and changes no result.
+FILTER_BITS = 23
 # Entries of a block: size bands are steps of the similarity, place bands this share of the size.
 PLACE_BANDS = 16
 
@@ -73,13 +76,42 @@ def _summaries(words: int):
     return run
 
 
-def _packed_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All (bucket, n) of a task in one row of two packed arrays: the driver gets bytes, not rows."""
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All (at, n) of a task in one row of two packed arrays: the driver gets bytes, not rows."""
     parts = list(batches)
     if parts:
         whole = pd.concat(parts)
-        yield pd.DataFrame({"buckets": [whole["bucket"].to_numpy().astype("<u4").tobytes()],
-                            "counts": [whole["n"].to_numpy().astype("<i8").tobytes()]})
+        yield pd.DataFrame({"at": [whole["at"].to_numpy().astype("<u4").tobytes()],
+                            "n": [whole["n"].to_numpy().astype("<i8").tobytes()]})
+
+
+def _gathered(rows: DataFrame, size: int) -> np.ndarray:
+    """Numbers ``n`` at places ``at`` of a table of fixed ``size``; 0 elsewhere."""
+    out = np.zeros(size, np.int64)
+    for row in rows.mapInPandas(_packed, "at binary, n binary").collect():
+        out[np.frombuffer(row["at"], "<u4")] = np.frombuffer(row["n"], "<i8")
+    return out
+
+
+def _filter_of(ids: DataFrame):
+    """Broadcast Bloom filter of doc_ids, by two stretches of their hash."""
+    mask, h = (1 << FILTER_BITS) - 1, F.xxhash64("doc_id")
+    place = F.explode(F.array(h.bitwiseAND(F.lit(mask)),
+                              F.shiftrightunsigned(h, FILTER_BITS).bitwiseAND(F.lit(mask))))
+    words = ids.select(place.alias("place")).groupBy(
+        F.floor(F.col("place") / 64).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(pmod(place, 64) AS INT))")).alias("n"))
+    bits = _gathered(words, 1 << (FILTER_BITS - 6)).view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _wanted(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), bool)
+    for shift in (0, FILTER_BITS):
+        place = (hashes >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+        found &= (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))
+                  & np.uint64(1)).astype(bool)
+    return found
 
 
 def _prefixes(words: int, percent: int, order):
@@ -111,11 +143,13 @@ def _prefixes(words: int, percent: int, order):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, bits):
+    """(class, keys) of the texts whose id hash the filter lets through."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordKeys()
         for batch in batches:
-            sets = [shingle_set(t, words, known) for t in batch["text"]]
+            chosen = batch["text"][_wanted(batch["h"].to_numpy().view(np.uint64), bits.value)]
+            sets = [shingle_set(t, words, known) for t in chosen]
             yield pd.DataFrame({"class": [_class_id(s) for s in sets],
                                 "keys": [s.view(np.int64) for s in sets]})
     return run
@@ -135,7 +169,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar enough, by their whole sets."""
     one = sets.select(F.col("class").alias("a"), F.col("keys").alias("keys_a"))
     two = sets.select(F.col("class").alias("b"), F.col("keys").alias("keys_b"))
-    both = pairs.select("a", "b").distinct().join(two, "b").join(one, "a")
+    both = pairs.join(two, "b").join(one, "a")
     common = F.size(F.array_intersect("keys_a", "keys_b"))
     whole = F.size("keys_a") + F.size("keys_b")
     return both.where(common * (100 + percent) >= whole * percent).select("a", "b").distinct()
@@ -194,11 +228,9 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     summaries = materialize(texts.mapInPandas(
         _summaries(words), "doc_id long, class binary, n long, bucket long"), "sets")
     rows = summaries.where("bucket < 0").drop("bucket")
-    counts = summaries.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros(1 << SKETCH_BITS, np.int64)
-    # At most 2 ** SKETCH_BITS numbers.
-    for row in counts.mapInPandas(_packed_counts, "buckets binary, counts binary").collect():
-        table[np.frombuffer(row["buckets"], "<u4")] = np.frombuffer(row["counts"], "<i8")
+    counts = summaries.where("bucket >= 0").groupBy(F.col("bucket").alias("at")).agg(
+        F.sum("n").alias("n"))
+    table = _gathered(counts, 1 << SKETCH_BITS)
     # Ranks instead of counts: only the order matters, and 32 bits hold it at any scale.
     order = spark.sparkContext.broadcast(np.unique(table, return_inverse=True)[1].astype(np.int32))
 
@@ -213,23 +245,30 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
 
     classes = rows.where(F.col("doc_id").isNotNull() & F.col("class").isNotNull()).groupBy(
         "class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
-    listed = entries.select("class").distinct()
-    holders = classes.join(listed, "class", "left_semi").select(F.col("first_id").alias("doc_id"))
-    sets = materialize(
-        named.join(holders, "doc_id", "left_semi").mapInPandas(
-            _sets(words), "class binary, keys array<long>").where(F.col("class").isNotNull()),
-        "keys")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """Links among the pairs; only the texts they name are made into sets again."""
+        pairs = materialize(pairs.distinct(), f"{label}-pairs")
+        named_class = pairs.select(F.col("a").alias("class")).unionByName(
+            pairs.select(F.col("b").alias("class"))).distinct()
+        bits = _filter_of(classes.join(named_class, "class", "left_semi").select(
+            F.col("first_id").alias("doc_id")))
+        sets = materialize(
+            named.select("text", F.xxhash64("doc_id").alias("h"))
+            .mapInPandas(_sets(words, bits), "class binary, keys array<long>")
+            .join(named_class, "class", "left_semi"), f"{label}-sets")
+        return materialize(_verified(pairs, sets, percent), label)
 
     pivot = F.col("pivot")
     near_pivot = entries.where((F.col("class") != pivot["class"]) & may_link(
         F.col("n"), F.col("place"), pivot["n"], pivot["place"], percent))
-    links = materialize(_verified(near_pivot.select(
+    links = verified(near_pivot.select(
         F.least(F.col("class"), pivot["class"]).alias("a"),
-        F.greatest(F.col("class"), pivot["class"]).alias("b")), sets, percent), "links")
+        F.greatest(F.col("class"), pivot["class"]).alias("b")), "links")
     stars = connected(links)
     labelled = entries.join(stars, F.col("class") == F.col("node"), "left").select(
         "shingle", "class", "n", "place", F.coalesce("root", "class").alias("label"))
-    more = materialize(_verified(_cross_pairs(labelled, percent), sets, percent), "more_links")
+    more = verified(_cross_pairs(labelled, percent), "more-links")
     nodes = stars if more.isEmpty() else connected(links.unionByName(more))
 
     rooted = classes.join(nodes, F.col("class") == F.col("node"), "left").select(
