@@ -93,9 +93,9 @@ def _gathered(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _filter_of(ids: DataFrame):
-    """Broadcast Bloom filter of doc_ids, by two stretches of their hash."""
-    mask, h = (1 << FILTER_BITS) - 1, F.xxhash64("doc_id")
+def _filter_of(ids: DataFrame, column: str):
+    """Broadcast Bloom filter of a long column, by two stretches of its hash."""
+    mask, h = (1 << FILTER_BITS) - 1, F.xxhash64(column)
     place = F.explode(F.array(h.bitwiseAND(F.lit(mask)),
                               F.shiftrightunsigned(h, FILTER_BITS).bitwiseAND(F.lit(mask))))
     words = ids.select(place.alias("place")).groupBy(
@@ -150,8 +150,17 @@ def _sets(words: int, bits):
         for batch in batches:
             chosen = batch["text"][_wanted(batch["h"].to_numpy().view(np.uint64), bits.value)]
             sets = [shingle_set(t, words, known) for t in chosen]
-            yield pd.DataFrame({"class": [_class_id(s) for s in sets],
-                                "keys": [s.view(np.int64) for s in sets]})
+            if sets:
+                yield pd.DataFrame({"class": [_class_id(s) for s in sets],
+                                    "keys": [s.view(np.int64) for s in sets]})
+    return run
+
+
+def _met(bits):
+    """Index entries whose shingle's hash the filter lets through."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[_wanted(batch["h"].to_numpy().view(np.uint64), bits.value)].drop(columns="h")
     return run
 
 
@@ -165,27 +174,33 @@ def may_link(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Co
     return F.least(na - pa, nb - pb) >= needed(na, nb, percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, by their whole sets."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similarity (common, whole) of the pairs (a, b) of classes, by their whole sets."""
     one = sets.select(F.col("class").alias("a"), F.col("keys").alias("keys_a"))
     two = sets.select(F.col("class").alias("b"), F.col("keys").alias("keys_b"))
-    both = pairs.join(two, "b").join(one, "a")
     common = F.size(F.array_intersect("keys_a", "keys_b"))
-    whole = F.size("keys_a") + F.size("keys_b")
-    return both.where(common * (100 + percent) >= whole * percent).select("a", "b").distinct()
+    whole = F.size("keys_a") + F.size("keys_b") - common
+    return pairs.join(two, "b").join(one, "a").select(
+        "a", "b", common.alias("common"), whole.alias("whole")).distinct()
+
+
+def _links(answers: DataFrame, percent: int) -> DataFrame:
+    return answers.where(F.col("common") * 100 >= F.col("whole") * percent).select("a", "b")
 
 
 def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of entries of one list that may link and whose sets are not yet connected.
 
-    ``entries``: shingle, class, n, place, label. Blocks are (shingle, size band, place band,
+    ``entries``: shingle, class, n, place, label and, where the set was compared with the list's
+    pivot, its distance from it. Jaccard distance is a metric, so two sets whose distances from one
+    pivot differ by more than the largest distance of a link can't link. Blocks are (shingle, size band, place band,
     whether the label is the list's smallest); pairs of blocks are checked on their extremes first.
     """
     ends = entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = entries.join(ends.where(F.col("low") < F.col("high")), "shingle")
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
     reach = F.floor(F.col("place") * F.lit(PLACE_BANDS * 100.0) / (F.col("n") * (100 - percent) + 100))
-    mixed = mixed.select("shingle", "class", "n", "place", "label", band.alias("band"),
+    mixed = mixed.select("shingle", "class", "n", "place", "label", "far", band.alias("band"),
                          reach.cast("int").alias("reach"), (F.col("label") == F.col("low")).alias("main"))
     block = ["shingle", "band", "reach", "main"]
     blocks = mixed.groupBy(*block).agg(
@@ -201,12 +216,14 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
         in_order & ~same & (most >= needed(F.col("n_min"), F.col("n_min_b"), percent))
     ).select(*block, "band_b", "reach_b", "main_b")
     left = mixed.select(*block, F.col("class").alias("a"), F.col("n").alias("na"),
-                        F.col("place").alias("pa"), F.col("label").alias("la"))
+                        F.col("place").alias("pa"), F.col("label").alias("la"), F.col("far").alias("fa"))
     right = mixed.select("shingle", F.col("band").alias("band_b"), F.col("reach").alias("reach_b"),
                          F.col("main").alias("main_b"), F.col("class").alias("b"),
-                         F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
+                         F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"),
+                         F.col("far").alias("fb"))
+    apart = F.abs(F.col("fa") - F.col("fb")) > (1.0 - percent / 100.0) + 1e-9
     pairs = left.join(opened, block).join(right, ["shingle", "band_b", "reach_b", "main_b"]).where(
-        (F.col("la") != F.col("lb"))
+        (F.col("la") != F.col("lb")) & ~F.coalesce(apart, F.lit(False))
         & may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -237,38 +254,46 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     named = texts.where(F.col("doc_id").isNotNull())
     index = materialize(named.mapInPandas(
         _prefixes(words, percent, order), "class binary, n long, place int, shingle long"), "index")
-    lists = index.groupBy("shingle").agg(
-        F.count("*").alias("entries"), F.min(F.struct("place", "n", "class")).alias("pivot"))
-    entries = materialize(
-        index.join(lists.where("entries > 1"), "shingle")
-        .select("shingle", "class", "n", "place", "pivot").distinct(), "entries")
+    often = materialize(index.groupBy("shingle").count().where("count > 1").select("shingle"),
+                        "often")
+    met = index.withColumn("h", F.xxhash64("shingle")).mapInPandas(
+        _met(_filter_of(often, "shingle")), index.schema)
+    entries = materialize(met.join(often, "shingle").distinct(), "entries")
+    pivots = entries.groupBy("shingle").agg(F.min(F.struct("place", "n", "class")).alias("pivot"))
+    entries = materialize(entries.join(pivots, "shingle"), "lists")
 
     classes = rows.where(F.col("doc_id").isNotNull() & F.col("class").isNotNull()).groupBy(
         "class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        """Links among the pairs; only the texts they name are made into sets again."""
+    def compared(pairs: DataFrame, label: str) -> DataFrame:
+        """Similarity of the pairs; only the texts they name are made into sets again."""
         pairs = materialize(pairs.distinct(), f"{label}-pairs")
         named_class = pairs.select(F.col("a").alias("class")).unionByName(
             pairs.select(F.col("b").alias("class"))).distinct()
-        bits = _filter_of(classes.join(named_class, "class", "left_semi").select(
-            F.col("first_id").alias("doc_id")))
+        bits = _filter_of(classes.join(named_class, "class", "left_semi").select("first_id"),
+                          "first_id")
         sets = materialize(
             named.select("text", F.xxhash64("doc_id").alias("h"))
             .mapInPandas(_sets(words, bits), "class binary, keys array<long>")
             .join(named_class, "class", "left_semi"), f"{label}-sets")
-        return materialize(_verified(pairs, sets, percent), label)
+        return materialize(_compared(pairs, sets), label)
 
     pivot = F.col("pivot")
     near_pivot = entries.where((F.col("class") != pivot["class"]) & may_link(
         F.col("n"), F.col("place"), pivot["n"], pivot["place"], percent))
-    links = verified(near_pivot.select(
-        F.least(F.col("class"), pivot["class"]).alias("a"),
-        F.greatest(F.col("class"), pivot["class"]).alias("b")), "links")
+    ends = [F.least(F.col("class"), pivot["class"]).alias("a"),
+            F.greatest(F.col("class"), pivot["class"]).alias("b")]
+    answers = compared(near_pivot.select(*ends), "answers")
+    links = _links(answers, percent)
     stars = connected(links)
-    labelled = entries.join(stars, F.col("class") == F.col("node"), "left").select(
-        "shingle", "class", "n", "place", F.coalesce("root", "class").alias("label"))
-    more = verified(_cross_pairs(labelled, percent), "more-links")
+    far = answers.select("a", "b", (1.0 - F.col("common") / F.col("whole")).alias("far"))
+    labelled = (
+        entries.select("*", *ends).join(far, ["a", "b"], "left")
+        .join(stars, F.col("class") == F.col("node"), "left")
+        .select("shingle", "class", "n", "place", F.coalesce("root", "class").alias("label"),
+                F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("far")).alias("far"))
+    )
+    more = _links(compared(_cross_pairs(materialize(labelled, "labelled"), percent), "more"), percent)
     nodes = stars if more.isEmpty() else connected(links.unionByName(more))
 
     rooted = classes.join(nodes, F.col("class") == F.col("node"), "left").select(
