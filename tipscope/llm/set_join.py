@@ -254,8 +254,13 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     named = texts.where(F.col("doc_id").isNotNull())
     index = materialize(named.mapInPandas(
         _prefixes(words, percent, order), "class binary, n long, place int, shingle long"), "index")
-    often = materialize(index.groupBy("shingle").count().where("count > 1").select("shingle"),
-                        "often")
+    # A list of two entries holds one pair: sizes and places tell whether it may link at all.
+    lists = index.groupBy("shingle").agg(
+        F.count("*").alias("k"), F.min("n").alias("n1"), F.max("n").alias("n2"),
+        F.min(F.col("n") - F.col("place")).alias("rest"))
+    alive = (F.col("k") > 2) | (
+        (F.col("k") == 2) & (F.col("rest") >= needed(F.col("n1"), F.col("n2"), percent)))
+    often = materialize(lists.where(alive).select("shingle"), "often")
     met = index.withColumn("h", F.xxhash64("shingle")).mapInPandas(
         _met(_filter_of(often, "shingle")), index.schema)
     entries = materialize(met.join(often, "shingle").distinct(), "entries")
