@@ -279,8 +279,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
                           "first_id")
         sets = materialize(
             named.select("text", F.xxhash64("doc_id").alias("h"))
-            .mapInPandas(_sets(words, bits), "class binary, keys array<long>")
-            .join(named_class, "class", "left_semi"), f"{label}-sets")
+            .mapInPandas(_sets(words, bits), "class binary, keys array<long>"), f"{label}-sets")
         return materialize(_compared(pairs, sets), label)
 
     pivot = F.col("pivot")
