@@ -66,7 +66,7 @@ SELECT 'telegram' AS source, concat('ch', CAST(o_custkey % 40 AS {text})) AS cha
        CAST(o_orderkey AS {text}) AS message_id,
        CASE CAST(o_orderkey % 8 AS INT)
          WHEN 0 THEN concat('buy ', sym, ' now, sure shot! target ', CAST(p_size AS {text}), ' intraday')
-         WHEN 1 THEN concat('Kal ', sym, ' me bumper tezi aayegi 🚀 tgt: ',
+         WHEN 1 THEN concat('Kal ', sym, ' me achhi tezi aayegi 📈 tgt: ',
                             CAST(1000 + p_size AS {text}), '.5')
          WHEN 2 THEN full_name
          WHEN 3 THEN concat(lower(p_type), ' ', p_name, ' LTD')

@@ -386,7 +386,7 @@ WITH base AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_totalprice,
               FROM orders),
 stored AS (SELECT * FROM base WHERE o_orderkey % 3 <> 0
            QUALIFY row_number() OVER (PARTITION BY o_custkey, day ORDER BY o_orderkey DESC) = 1),
-news AS (SELECT * FROM base WHERE o_orderkey % 2 = 0
+news AS (SELECT * FROM base WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0
          QUALIFY row_number() OVER (PARTITION BY o_custkey, day
                                     ORDER BY o_totalprice DESC, o_orderkey DESC) = 1)
 SELECT * FROM news UNION ALL

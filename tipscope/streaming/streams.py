@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,7 +46,7 @@ def run_upsert(stream: DataFrame, path: str, keys: list[str], checkpoint: str, *
                every: str | None = None) -> StreamingQuery:
     """Upsert each micro-batch into a stored table; by default all that is there, then stop.
 
-    A batch that is replayed after a failure replaces its own rows, so the table ends the same.
+    A batch that is replayed after a failure replaces its own rows.
     """
     writer = stream.writeStream.foreachBatch(
         lambda batch, _: upsert(batch, path, keys, month_of=month_of, order_by=order_by)
@@ -113,9 +113,10 @@ def sliding_channels(mentions: DataFrame, *, lateness: str = LATENESS,
 
 
 def rank_bursts(windows: DataFrame, baseline: DataFrame, limit: int = 25) -> DataFrame:
-    """Bursting tickers among window counts, against a stored baseline.
+    """The ``limit`` most unusual bursts of each window end, against a stored baseline.
 
-    ``baseline``: ``ticker, baseline_mean, baseline_std``. A ticker without one has mean 0.
+    ``baseline``: ``ticker, baseline_mean, baseline_std``. A ticker without one has mean 0. A
+    micro-batch may close several window ends (a backlog); each is ranked by itself.
     """
     mean = F.coalesce(F.col("baseline_mean"), F.lit(0.0))
     std = F.coalesce(F.col("baseline_std"), F.lit(0.0))
@@ -124,9 +125,10 @@ def rank_bursts(windows: DataFrame, baseline: DataFrame, limit: int = 25) -> Dat
         n > mean, F.lit(float("inf"))).otherwise(0.0)
     scored = windows.join(baseline, "ticker", "left").withColumn("z", z)
     rank = F.when(F.col("z") == float("inf"), F.lit(1e9)).otherwise(F.col("z"))
+    order = Window.partitionBy("window_end").orderBy(rank.desc(), F.desc("n_channels"), "ticker")
     return (
         scored.where(is_burst(n, F.col("z")))
-        .orderBy(rank.desc(), F.desc("n_channels"), "ticker").limit(limit)
+        .withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit)
         .select("ticker", "window_end", "n_channels", "z")
     )
 
