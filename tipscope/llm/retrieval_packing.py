@@ -34,81 +34,23 @@ QUERY_TERMS, K1, B = 24, 1.2, 0.75
 _BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
-#: Words of these letters and marks split in two at their border, whatever the letters' case; all
-#: letters are in the pattern's letter class and all marks outside letters, digits and blanks.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|<>()/+=-]*)")
-_JOIN_WORDS = 5_000
-
-
 class WordIds(dict):
     """Blank-separated word -> its ids. The tokenizer drops white space before any merge, so the
-    ids of a text are those of its words in a row.
-
-    Words unknown so far are looked up together: the letters of plain words go to the tokenizer
-    as one text, in which each is one piece before merges, and so get their ids back.
-    """
+    ids of a text are those of its words in a row."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.letters: dict[str, tuple[int, ...]] = {}
-        self.marks: dict[str, tuple[int, ...]] = {"": ()}
-
-    def _direct(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _learn_letters(self, words: list[str]) -> None:
-        for at in range(0, len(words), _JOIN_WORDS):
-            part = words[at:at + _JOIN_WORDS]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, cuts = found.ids, np.flatnonzero(np.diff(found.word_ids)) + 1
-            edges = [0, *cuts.tolist(), len(ids)]
-            if len(edges) != len(part) + 1:
-                raise ValueError("a word of letters is not one piece")
-            self.letters.update(
-                (w, tuple(ids[a:b])) for w, a, b in zip(part, edges, edges[1:]))
-
-    def learn(self, words: set[str]) -> None:
-        plain, new = [], set()
-        for word in words:
-            match = _PLAIN.fullmatch(word)
-            if match:
-                low = match[1].lower()
-                plain.append((word, low, match[2]))
-                if low not in self.letters:
-                    new.add(low)
-                if match[2] not in self.marks:
-                    self.marks[match[2]] = self._direct(match[2])
-            else:
-                self[word] = self._direct(word)
-        if new:
-            self._learn_letters(sorted(new))
-        for word, low, marks in plain:
-            self[word] = self.letters[low] + self.marks[marks]
-
-    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = _BLANKS.split(text)
-            yield np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint16)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text; learns the words of some texts at a time."""
-        group, size = [], 0
-        for text in [*texts, None]:
-            if text is not None:
-                group.append(text)
-                size += len(text)
-            if group and (text is None or size > 2_000_000):
-                if len(self) > self.limit:
-                    self.clear()
-                if len(self.letters) > self.limit or len(self.marks) > self.limit:
-                    self.letters, self.marks = {}, {"": ()}
-                words = set()
-                for t in group:
-                    words.update(_BLANKS.split(t))
-                self.learn(words.difference(self))
-                yield from self.encode_all(group)
-                group, size = [], 0
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        words = _BLANKS.split(text)
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint16)
 
 
 @lru_cache(maxsize=1)
@@ -122,8 +64,8 @@ def _tokenized(path: str):
         for batch in batches:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"),
-                "ids": [np.append(ids, np.uint16(END)).astype("<u2").tobytes()
-                        for ids in known.encode([t or "" for t in batch["text"]])]})
+                "ids": [np.append(known.encode(t or ""), np.uint16(END)).astype("<u2").tobytes()
+                        for t in batch["text"]]})
     return run
 
 
