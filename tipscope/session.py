@@ -86,4 +86,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._scratch = path
+    return stored
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``materialize`` returned.
+
+    Only for tables whose every reader has itself been stored: nothing may need them again, not
+    even after the loss of an executor.
+    """
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
