@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipscope.session import materialize
+from tipscope.session import materialize, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def connected(edges: DataFrame) -> DataFrame:
         near = _nearest(large)
         small = large.join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(near.select("a", F.col("m").alias("b")))
-        now = materialize(small.where(F.col("a") != F.col("b")).distinct(), "stars")
+        before, now = now, materialize(small.where(F.col("a") != F.col("b")).distinct(), "stars")
+        release(before)
         after = _mark(now)
         if after == mark:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tipscope.llm.common import GOLDEN, WordKeys, lower_ascii_words, mix
 from tipscope.llm.components import connected
 from tipscope.operators.skew import skew_join
-from tipscope.session import materialize
+from tipscope.session import materialize, release
 
 WORDS, PERCENT = 5, 80
 #: Buckets of the table of counts, a power of two: four bytes each, whatever the corpus.
@@ -263,9 +263,11 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     often = materialize(lists.where(alive).select("shingle"), "often")
     met = index.withColumn("h", F.xxhash64("shingle")).mapInPandas(
         _met(_filter_of(often, "shingle")), index.schema)
-    entries = materialize(met.join(often, "shingle").distinct(), "entries")
-    pivots = entries.groupBy("shingle").agg(F.min(F.struct("place", "n", "class")).alias("pivot"))
-    entries = materialize(entries.join(pivots, "shingle"), "lists")
+    found = materialize(met.join(often, "shingle").distinct(), "entries")
+    release(index, often)
+    pivots = found.groupBy("shingle").agg(F.min(F.struct("place", "n", "class")).alias("pivot"))
+    entries = materialize(found.join(pivots, "shingle"), "lists")
+    release(found)
 
     classes = rows.where(F.col("doc_id").isNotNull() & F.col("class").isNotNull()).groupBy(
         "class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
@@ -280,7 +282,9 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
         sets = materialize(
             named.select("text", F.xxhash64("doc_id").alias("h"))
             .mapInPandas(_sets(words, bits), "class binary, keys array<long>"), f"{label}-sets")
-        return materialize(_compared(pairs, sets), label)
+        answers = materialize(_compared(pairs, sets), label)
+        release(pairs, sets)
+        return answers
 
     pivot = F.col("pivot")
     near_pivot = entries.where((F.col("class") != pivot["class"]) & may_link(
@@ -297,7 +301,10 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
         .select("shingle", "class", "n", "place", F.coalesce("root", "class").alias("label"),
                 F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("far")).alias("far"))
     )
-    more = _links(compared(_cross_pairs(materialize(labelled, "labelled"), percent), "more"), percent)
+    labelled = materialize(labelled, "labelled")
+    release(entries)
+    more = _links(compared(_cross_pairs(labelled, percent), "more"), percent)
+    release(labelled)
     nodes = stars if more.isEmpty() else connected(links.unionByName(more))
 
     rooted = classes.join(nodes, F.col("class") == F.col("node"), "left").select(

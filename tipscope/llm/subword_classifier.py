@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tipscope.llm.common import GOLDEN, id_remainder, mix
 
 #: Labelled rows of each class to learn from, at most; rows of the table of vectors; and so on.
-SAMPLE_ROWS, BUCKETS, WIDTH = 2_000, 1 << 16, 8
+SAMPLE_ROWS, BUCKETS, WIDTH = 1_500, 1 << 16, 8
 GRAMS = (3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 7
 AGAIN = b"\x00again"
@@ -106,6 +106,8 @@ def fit(texts: list[str], labels: np.ndarray, *, epochs: int = EPOCHS, rate: flo
 
     def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         words, repeats = words_with_marks(text)
+        if len(seen) > 50_000:
+            seen.clear()
         for word in {AGAIN, *words}.difference(seen):
             seen[word] = np.array(word_features(word, buckets), np.int32)
         parts = [seen[w] for w in words] + [seen[AGAIN]] * repeats
@@ -159,7 +161,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, *, parts: int,
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, parts: int = 3,
-          apart: int = 1, rows: int = SAMPLE_ROWS, chars: int = 20_000) -> Model:
+          apart: int = 1, rows: int = SAMPLE_ROWS, chars: int = 8_000) -> Model:
     """Fit on the bounded sample; each sample text teaches by at most ``chars`` characters from
     its middle, which bounds the driver's memory. Scoring reads whole texts."""
     sample = training_rows(docs, labels, label, parts=parts, apart=apart, rows=rows)

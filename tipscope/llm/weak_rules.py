@@ -148,19 +148,22 @@ def learn(patterns: DataFrame, rounds: int = ROUNDS):
     return share, chance
 
 
-def judged(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rows of a stored ``measured`` table with base_failed, p_good and kept."""
-    voted = votes(rows)
+def learned_from(rows: DataFrame, rounds: int = ROUNDS):
+    """Estimates from the votes on ``measured`` rows. Texts that fail the base rule are out
+    already; the model is fitted to those it decides on."""
     names = [f"_vote_{name}" for name in RULES]
-    # Texts that fail the base rule are out already; the model is fitted to those it decides on.
-    patterns = materialize(voted.where(~base_failed()).groupBy(*names).agg(
-        F.count("*").alias("n")).coalesce(1), "votes")
-    share, chance = learn(patterns, rounds)
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    patterns = votes(rows).where(~base_failed() & (F.col("_at") >= 0)).groupBy(*names).agg(F.count("*").alias("n"))
+    return learn(materialize(patterns.coalesce(1), "votes"), rounds)
+
+
+def judged(rows: DataFrame, share: float, chance) -> DataFrame:
+    """``measured`` rows with base_failed, p_good and kept."""
     return (
-        voted.withColumn("base_failed", base_failed())
+        votes(rows).withColumn("base_failed", base_failed())
         .withColumn("p_good", _posterior(share, chance))
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
-        .drop(*names)
+        .drop(*[f"_vote_{name}" for name in RULES])
     )
 
 
@@ -174,14 +177,21 @@ def quality_votes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     stored = materialize(measured(docs.select(F.col("doc_id"), F.col("text")), ["doc_id"]),
                          "measures")
-    return judged(stored, rounds).select(
+    return judged(stored, *learned_from(stored, rounds)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("p_good", 4).alias("p_good"))
 
 
 def keep_good(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rows of ``docs`` that ``quality_votes`` keeps, with all their columns."""
+    """Rows of ``docs`` that ``quality_votes`` keeps, with all their columns.
+
+    Texts are measured twice, for the estimates and for the verdicts, rather than stored with their
+    measures: that would write every text once more.
+    """
+    estimates = learned_from(measured(docs.select("text"), []), rounds)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                          F.col("text"))
-    stored = materialize(measured(packed, ["_row"]), "measures")
-    return judged(stored, rounds).where("kept").select("_row.*")
+    # A column that is not deterministic keeps the verdict above the measures: pushed below them,
+    # it would repeat them for each use.
+    rows = measured(packed, ["_row"]).withColumn("_at", F.monotonically_increasing_id())
+    return judged(rows, *estimates).where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
