@@ -109,3 +109,14 @@ def test_streaming_watchlist(spark):
     finish(S.run_watchlist(windows, baseline, out, scratch_path(spark, "state")))
     got = spark.read.parquet(out).where(F.col("ticker") == "PUMP").collect()
     assert got and all(r.z == float("inf") and r.n_channels >= 3 for r in got)
+
+
+def test_each_window_end_of_a_backlog_is_ranked(spark):
+    ends = [START + timedelta(days=k) for k in range(3)]
+    windows = spark.createDataFrame(
+        [(t, end, n) for end in ends for t, n in (("A", 9), ("B", 7), ("C", 1))],
+        "ticker string, window_end timestamp, n_channels bigint")
+    baseline = spark.createDataFrame([("A", 1.0, 1.0), ("B", 1.0, 1.0)],
+                                     "ticker string, baseline_mean double, baseline_std double")
+    got = S.rank_bursts(windows, baseline, limit=1).collect()
+    assert [r.ticker for r in got] == ["A", "A", "A"] and len({r.window_end for r in got}) == 3
