@@ -12,18 +12,20 @@ number for each id of the vocabulary. A shard holds a bounded number of tokens.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from tipscope.session import materialize
 
@@ -32,25 +34,98 @@ SHARD_TOKENS = 2_000_000
 #: A query is the seed's strongest terms by BM25 weight; BM25's usual constants.
 QUERY_TERMS, K1, B = 24, 1.2, 0.75
 _BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: Texts of these characters alone are the same in NFC, and their letters, digits and blanks are
+#: told apart alike by every library: printable ASCII, usual blanks, Latin letters with accents.
+_PLAIN = re.compile(r"[\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]*")
+# Fixed values of the tokenizer file: its pattern, its normalizer and its marker of a word's end.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+               {"type": "Lowercase"}]
+_WORD_END = "</w>"
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+class RankedPieces(dict):
+    """Lower-cased piece -> its ids, two bytes each, by a table of ranks over bytes in place of the
+    file's merges; a blank ends each piece.
+
+    A file merges given pairs in order; a table of ranks merges any two neighbours whose bytes
+    together are listed. Both give the same ids if every listed token, taken alone, is merged by
+    the file into itself: two neighbours that spell a token are then always its given pair. The
+    constructor checks that for the whole vocabulary and raises ValueError otherwise.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, vocab = spec["model"], spec["model"]["vocab"]
+        splits = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if (splits != _PATTERN or spec["normalizer"]["normalizers"] != _NORMALIZER
+                or model["end_of_word_suffix"] != _WORD_END):
+            raise ValueError(f"{path}: not the tokenizer that the ranks stand for")
+        letters = _byte_letters()
+        byte = {letter: b for b, letter in enumerate(letters)}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # Single bytes, bytes at a word's end (their merge with the blank comes first), merges.
+        tokens = letters + [a + _WORD_END for b, a in enumerate(letters) if b != 32]
+        tokens += [a + b for a, b in merges]
+        inner = BPE(vocab=vocab, merges=merges)
+        last = BPE(vocab=vocab, merges=merges, end_of_word_suffix=_WORD_END)
+        ranks = {}
+        for rank, token in enumerate(tokens):
+            ends = token.endswith(_WORD_END)
+            letters_of = token.removesuffix(_WORD_END)
+            if [t.id for t in (last if ends else inner).tokenize(letters_of)] != [vocab[token]]:
+                raise ValueError(f"{path}: {token} is not made by its own merges")
+            ranks[bytes(byte[c] for c in letters_of) + b" " * ends] = rank
+        if len(ranks) != len(tokens):
+            raise ValueError(f"{path}: two tokens of the same bytes")
+        self.ids = [vocab[t].to_bytes(2, "little") for t in tokens]
+        self.ranks_of = tiktoken.Encoding("pieces", pat_str="[^ ]+ ", mergeable_ranks=ranks,
+                                          special_tokens={}).encode_ordinary
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = b"".join([self.ids[rank] for rank in self.ranks_of(piece + " ")])
+        return ids
 
 
 class WordIds(dict):
-    """Blank-separated word -> its ids. The tokenizer drops white space before any merge, so the
-    ids of a text are those of its words in a row."""
+    """Blank-separated word -> its ids, two bytes each. The tokenizer drops white space before any
+    merge, so the ids of a text are those of its words in a row, and those of a plain word are its
+    pieces'. Words of other characters, or with special strings, are left to the tokenizer."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self.pieces = RankedPieces(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def __missing__(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+            ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = np.array(found, "<u2").tobytes()
+        self[word] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        words = _BLANKS.split(text)
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint16)
+        for kept in (self, self.pieces):
+            if len(kept) > self.limit:
+                kept.clear()
+        lowered = text.lower()
+        # Lower case lets more words share an entry, unless it would make a special string.
+        plain = _PLAIN.fullmatch(text) and not any(s in lowered for s in self.special)
+        words = lowered.split() if plain else _BLANKS.split(text)
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2")
 
 
 @lru_cache(maxsize=1)
