@@ -12,6 +12,10 @@ of prefixes finds all partners. Two kinds of work are skipped:
   what remains are pairs of entries whose sets are not connected yet. A large family of near copies
   costs about one comparison for each member, not one for each pair.
 
+Before two whole sets meet, their sketches do: counts of their shingles in a fixed number of cells.
+The smaller counts of each cell add up to the largest overlap there can be, so pairs that fall short
+of the line are settled without moving a set.
+
 The order of shingles comes from a table of counts of fixed size (shingles hashed to buckets). Any
 one order gives exact results; rarity only makes lists short.
 """
@@ -37,6 +41,8 @@ SKETCH_BITS = 20
 #: Bits of the filter that keeps texts out of a reread: its size is fixed. Where very many texts are
 #: wanted it lets more of the others through, which costs time and changes no result.
 FILTER_BITS = 23
+#: Cells of a set's sketch and the largest count one holds (two bytes).
+CELLS, FULL = 256, 65535
 # Entries of a block: size bands are steps of the similarity, place bands this share of the size.
 PLACE_BANDS = 16
 
@@ -152,10 +158,30 @@ def _sets(words: int, bits):
             sets = [shingle_set(t, words, known) for t in chosen]
             if sets:
                 yield pd.DataFrame({"class": [_class_id(s) for s in sets],
+                                    "n": [len(s) for s in sets],
+                                    "sketch": [_sketch(s) for s in sets],
                                     "keys": [s.view(np.int64) for s in sets]})
     return run
 
 
+def _sketch(keys: np.ndarray) -> bytes:
+    cells = np.bincount((keys & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return np.minimum(cells, FULL).astype("<u2").tobytes()
+
+
+def _most(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs with ``most``, the largest overlap that their sketches leave room for."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(-1, CELLS)
+                    for c in ("sketch_a", "sketch_b"))
+        smaller = np.minimum(one, two)
+        room = np.minimum(batch["na"], batch["nb"]).to_numpy()
+        # Cells full in both sets tell nothing.
+        most = np.where((smaller == FULL).any(axis=1), room, smaller.sum(axis=1, dtype=np.int64))
+        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "total": batch["na"] + batch["nb"],
+                            "most": most})
+
+
 def _met(bits):
     """Index entries whose shingle's hash the filter lets through."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,23 +210,36 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "a", "b", common.alias("common"), whole.alias("whole")).distinct()
 
 
-def _links(answers: DataFrame, percent: int) -> DataFrame:
-    return answers.where(F.col("common") * 100 >= F.col("whole") * percent).select("a", "b")
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, total, most): sizes together and the largest possible overlap of each pair."""
+    one = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a"))
+    two = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(two, "b").join(one, "a").mapInPandas(
+        _most, "a binary, b binary, total long, most long").distinct()
+
+
+def _distances(common: Column, whole: Column, percent: int, exact: bool) -> list[Column]:
+    """Whether a pair links, and the least and the largest distance it can have."""
+    least = 1.0 - common / whole
+    links = common * 100 >= whole * percent
+    return [links.alias("links"), least.alias("least"),
+            (least if exact else F.lit(1.0)).alias("largest")]
 
 
 def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of entries of one list that may link and whose sets are not yet connected.
 
     ``entries``: shingle, class, n, place, label and, where the set was compared with the list's
-    pivot, its distance from it. Jaccard distance is a metric, so two sets whose distances from one
-    pivot differ by more than the largest distance of a link can't link. Blocks are (shingle, size band, place band,
-    whether the label is the list's smallest); pairs of blocks are checked on their extremes first.
+    pivot, bounds of its distance from it (equal where it is known). Jaccard distance is a metric,
+    so two sets whose distances from one pivot differ by more than the largest distance of a link
+    can't link. Blocks are (shingle, size band, place band, whether the label is the list's
+    smallest); pairs of blocks are checked on their extremes first.
     """
     ends = entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = entries.join(ends.where(F.col("low") < F.col("high")), "shingle")
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
     reach = F.floor(F.col("place") * F.lit(PLACE_BANDS * 100.0) / (F.col("n") * (100 - percent) + 100))
-    mixed = mixed.select("shingle", "class", "n", "place", "label", "far", band.alias("band"),
+    mixed = mixed.select("shingle", "class", "n", "place", "label", "least", "largest", band.alias("band"),
                          reach.cast("int").alias("reach"), (F.col("label") == F.col("low")).alias("main"))
     block = ["shingle", "band", "reach", "main"]
     blocks = mixed.groupBy(*block).agg(
@@ -216,12 +255,14 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
         in_order & ~same & (most >= needed(F.col("n_min"), F.col("n_min_b"), percent))
     ).select(*block, "band_b", "reach_b", "main_b")
     left = mixed.select(*block, F.col("class").alias("a"), F.col("n").alias("na"),
-                        F.col("place").alias("pa"), F.col("label").alias("la"), F.col("far").alias("fa"))
+                        F.col("place").alias("pa"), F.col("label").alias("la"), F.col("least").alias("least_a"),
+                        F.col("largest").alias("largest_a"))
     right = mixed.select("shingle", F.col("band").alias("band_b"), F.col("reach").alias("reach_b"),
                          F.col("main").alias("main_b"), F.col("class").alias("b"),
                          F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"),
-                         F.col("far").alias("fb"))
-    apart = F.abs(F.col("fa") - F.col("fb")) > (1.0 - percent / 100.0) + 1e-9
+                         F.col("least").alias("least_b"), F.col("largest").alias("largest_b"))
+    apart = F.greatest(F.col("least_a") - F.col("largest_b"), F.col("least_b") - F.col("largest_a")) > (
+        1.0 - percent / 100.0) + 1e-9
     pairs = left.join(opened, block).join(right, ["shingle", "band_b", "reach_b", "main_b"]).where(
         (F.col("la") != F.col("lb")) & ~F.coalesce(apart, F.lit(False))
         & may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
@@ -273,17 +314,32 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
         "class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members"))
 
     def compared(pairs: DataFrame, label: str) -> DataFrame:
-        """Similarity of the pairs; only the texts they name are made into sets again."""
+        """(a, b, links, least, largest) of the pairs: sketches first, then sets of what is open.
+
+        Only the texts that the pairs name are made into sets again.
+        """
         pairs = materialize(pairs.distinct(), f"{label}-pairs")
         named_class = pairs.select(F.col("a").alias("class")).unionByName(
             pairs.select(F.col("b").alias("class"))).distinct()
         bits = _filter_of(classes.join(named_class, "class", "left_semi").select("first_id"),
                           "first_id")
+        schema = "class binary, n long, sketch binary, keys array<long>"
         sets = materialize(
             named.select("text", F.xxhash64("doc_id").alias("h"))
-            .mapInPandas(_sets(words, bits), "class binary, keys array<long>"), f"{label}-sets")
-        answers = materialize(_compared(pairs, sets), label)
-        release(pairs, sets)
+            .mapInPandas(_sets(words, bits), schema), f"{label}-sets")
+        bounds = materialize(_bounded(pairs, sets), f"{label}-bounds")
+        spare = F.col("total") - F.col("most")
+        open_ = F.col("most") * 100 >= spare * percent
+        rest = bounds.where(open_).select("a", "b")
+        ends = rest.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        asked = sets.select("class", "keys", F.xxhash64("class").alias("h")).mapInPandas(
+            _met(_filter_of(ends, "class")), "class binary, keys array<long>")
+        settled = bounds.where(~open_).select(
+            "a", "b", *_distances(F.col("most"), spare, percent, exact=False))
+        exact = _compared(rest, asked).select(
+            "a", "b", *_distances(F.col("common"), F.col("whole"), percent, exact=True))
+        answers = materialize(exact.unionByName(settled), label)
+        release(pairs, sets, bounds)
         return answers
 
     pivot = F.col("pivot")
@@ -292,18 +348,19 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     ends = [F.least(F.col("class"), pivot["class"]).alias("a"),
             F.greatest(F.col("class"), pivot["class"]).alias("b")]
     answers = compared(near_pivot.select(*ends), "answers")
-    links = _links(answers, percent)
+    links = answers.where("links").select("a", "b")
     stars = connected(links)
-    far = answers.select("a", "b", (1.0 - F.col("common") / F.col("whole")).alias("far"))
+    distances = answers.select("a", "b", "least", "largest")
     labelled = (
-        entries.select("*", *ends).join(far, ["a", "b"], "left")
+        entries.select("*", *ends).join(distances, ["a", "b"], "left")
         .join(stars, F.col("class") == F.col("node"), "left")
         .select("shingle", "class", "n", "place", F.coalesce("root", "class").alias("label"),
-                F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("far")).alias("far"))
+                *[F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col(c)).alias(c)
+                  for c in ("least", "largest")])
     )
     labelled = materialize(labelled, "labelled")
     release(entries)
-    more = _links(compared(_cross_pairs(labelled, percent), "more"), percent)
+    more = compared(_cross_pairs(labelled, percent), "more").where("links").select("a", "b")
     release(labelled)
     nodes = stars if more.isEmpty() else connected(links.unionByName(more))
 
