@@ -92,8 +92,27 @@ class RankedPieces(dict):
         self.ranks_of = tiktoken.Encoding("pieces", pat_str="[^ ]+ ", mergeable_ranks=ranks,
                                           special_tokens={}).encode_ordinary
 
+    def made(self, piece: str) -> bytes:
+        return b"".join([self.ids[rank] for rank in self.ranks_of(piece + " ")])
+
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = b"".join([self.ids[rank] for rank in self.ranks_of(piece + " ")])
+        ids = self[piece] = self.made(piece)
+        return ids
+
+
+class PlainWords(dict):
+    """Lower-cased word of a plain text without special strings -> its ids, by its pieces."""
+
+    def __init__(self, pieces: RankedPieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():  # one piece, remembered here already
+            ids = self.pieces.made(word)
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
+        self[word] = ids
         return ids
 
 
@@ -106,11 +125,12 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.pieces = RankedPieces(path)
+        self.plain = PlainWords(self.pieces)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+            ids = self.plain[word.lower()]
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
             ids = np.array(found, "<u2").tobytes()
@@ -118,14 +138,17 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        for kept in (self, self.pieces):
+        for kept in (self, self.plain, self.pieces):
             if len(kept) > self.limit:
                 kept.clear()
         lowered = text.lower()
         # Lower case lets more words share an entry, unless it would make a special string.
         plain = _PLAIN.fullmatch(text) and not any(s in lowered for s in self.special)
-        words = lowered.split() if plain else _BLANKS.split(text)
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2")
+        if plain:
+            ids = map(self.plain.__getitem__, lowered.split())
+        else:
+            ids = map(self.__getitem__, _BLANKS.split(text))
+        return np.frombuffer(b"".join(ids), "<u2")
 
 
 @lru_cache(maxsize=1)
@@ -146,11 +169,14 @@ def _tokenized(path: str):
 
 def _frequencies(vocabulary: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(vocabulary, np.int64)
+        counts, last = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
         n = 0
         for batch in batches:
-            for ids in batch["ids"]:
-                counts[np.unique(np.frombuffer(ids, "<u2"))] += 1
+            for packed in batch["ids"]:
+                ids = np.frombuffer(packed, "<u2")
+                places = np.arange(len(ids))
+                last[ids] = places
+                counts[ids[last[ids] == places]] += 1  # each id once, at its last place
             n += len(batch)
         used = np.flatnonzero(counts)
         yield pd.DataFrame({"term": np.append(used, -1), "n": np.append(counts[used], n)})
@@ -160,13 +186,17 @@ def _frequencies(vocabulary: int):
 def _keyed(idf):
     """Adds the two rarest terms of each document, the key that shards are cut by."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight = idf.value
+        by_rarity = np.argsort(-idf.value, kind="stable")
+        rarity = np.empty(len(by_rarity), np.int32)
+        rarity[by_rarity] = np.arange(len(by_rarity))
         for batch in batches:
             keys = []
             for ids in batch["ids"]:
-                terms = np.unique(np.frombuffer(ids, "<u2"))
-                rare = terms[np.argsort(-weight[terms], kind="stable")[:2]]
-                keys.append((int(rare[0]), int(rare[-1])))
+                rare = rarity[np.frombuffer(ids, "<u2")]
+                first = rare.min()
+                second = rare[rare > first].min(initial=len(by_rarity))
+                pair = first, second if second < len(by_rarity) else first
+                keys.append(tuple(int(by_rarity[place]) for place in pair))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": batch["ids"],
                                 "first": [k[0] for k in keys], "second": [k[1] for k in keys]})
     return run
