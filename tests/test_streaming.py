@@ -86,6 +86,7 @@ def test_sliding_windows_equal_batch_counts(spark):
     df.write.parquet(source)
     stream = spark.readStream.schema(df.schema).parquet(source)
     got = run_to_parquet(spark, S.sliding_channels(stream)).collect()
+    left = S.open_channels(spark.read.parquet(source)).collect()
     want = {}
     for channel, ticker, at in mention_rows():
         end = datetime(at.year, at.month, at.day)
@@ -96,6 +97,9 @@ def test_sliding_windows_equal_batch_counts(spark):
     closed = max(at for _, _, at in mention_rows()) - timedelta(hours=2)
     assert {(r.ticker, r.window_end): r.n_channels for r in got} == {
         k: len(v) for k, v in want.items() if k[1] < closed}
+    assert left and {(r.ticker, r.window_end): r.n_channels for r in left} == {
+        k: len(v) for k, v in want.items() if k[1] >= closed}
+    assert S.open_channels(spark.createDataFrame([], df.schema)).count() == 0
 
 
 def test_streaming_watchlist(spark):

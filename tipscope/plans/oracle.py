@@ -456,8 +456,6 @@ ORDER BY CASE WHEN z = 'inf'::DOUBLE THEN 1e9 ELSE z END DESC, n_channels DESC,
     + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS window_end FROM known
 ) SELECT ticker, window_end, count(DISTINCT channel_id) AS n_channels
 FROM known JOIN ends ON posted_at > window_end - INTERVAL 48 HOUR AND posted_at <= window_end
-WHERE window_end + INTERVAL 1 MICROSECOND
-      <= (SELECT max(posted_at) FROM known) - INTERVAL 2 HOUR
 GROUP BY ticker, window_end""",
         "tip_columns": f"WITH {MESSAGES}, {tips('messages')} SELECT {TIP_LIST} FROM tips",
         "document_tip_columns": f"WITH docs AS ({_t('DOCUMENT_MESSAGES')}), {tips('docs')} "

@@ -337,7 +337,8 @@ def watchlist(spark, sf):
 
 @query
 def channel_windows_stream(spark, sf):
-    """Distinct channels per ticker and sliding 48 h window, from a file stream."""
+    """Distinct channels per ticker and sliding 48 h window, from a file stream; the windows that
+    the watermark has not passed at its end are counted in a batch."""
     tagged = mentions(spark, sf)
     source, out = scratch_path(spark, "mentions"), scratch_path(spark, "windows")
     tagged.select("channel_id", "ticker", "posted_at").write.parquet(source)
@@ -347,9 +348,9 @@ def channel_windows_stream(spark, sf):
     (windows.writeStream.outputMode("append").format("parquet").option("path", out)
      .option("checkpointLocation", scratch_path(spark, "stream-state"))
      .trigger(availableNow=True).start().awaitTermination())
-    # Windows that the watermark has not passed are still open and not written.
-    return spark.read.schema("ticker string, window_end timestamp, n_channels bigint").parquet(
+    closed = spark.read.schema("ticker string, window_end timestamp, n_channels bigint").parquet(
         out)
+    return closed.unionByName(ST.open_channels(spark.read.schema(stream.schema).parquet(source)))
 
 
 # --- messages ------------------------------------------------------------------------------------

@@ -112,6 +112,24 @@ def sliding_channels(mentions: DataFrame, *, lateness: str = LATENESS,
     )
 
 
+def open_channels(mentions: DataFrame, *, lateness: str = LATENESS, window: str = WINDOW,
+                  step: str = STEP) -> DataFrame:
+    """Counts of the windows that a finished stream over the same mentions has left open.
+
+    A batch frame of all mentions the stream has read. Only those that can lie in an open window
+    are counted: the ones after the final watermark, less one window. Together with what
+    ``sliding_channels`` has written this is every window, each once.
+    """
+    known = mentions.where(F.col("ticker").isNotNull())
+    # The stream's watermark: the newest time less the lateness, in whole milliseconds.
+    mark = F.date_trunc("millisecond", F.max("posted_at") - F.expr(f"INTERVAL {lateness}"))
+    watermark = F.lit(known.agg(mark).first()[0]).cast("timestamp")
+    recent = known.where(F.col("posted_at") >= watermark - F.expr(f"INTERVAL {window}"))
+    end = F.col("window_end") + F.expr("INTERVAL 1 MICROSECOND")
+    return sliding_channels(recent, lateness=lateness, window=window, step=step).where(
+        end > watermark)
+
+
 def rank_bursts(windows: DataFrame, baseline: DataFrame, limit: int = 25) -> DataFrame:
     """The ``limit`` most unusual bursts of each window end, against a stored baseline.
 
