@@ -16,8 +16,12 @@ _DIALECTS = {
                "json": "to_json(struct_pack({pairs}))", "fmt": "strftime({d}, '%d-%b-%Y')"},
 }
 
+# The supplier that stands behind 15 customers; both tables grow alike, so all are reached.
+SUPPLIER_OF = "CAST(floor((o_custkey + 14) / 15) AS INT)"
 SYMBOL = "concat('SUP', lpad(CAST({k} AS {text}), 5, '0'))"
 
+UNLISTED = "CASE WHEN l_suppkey % 11 = 3 THEN replace({symbol}, 'SUP', 'NEW') ELSE {symbol} END"
+
 # Daily prices: one row per supplier and ship date.
 DAILY_PRICES = """
 SELECT 'NSE' AS exchange, {symbol} AS symbol,
@@ -38,16 +42,16 @@ GROUP BY l_suppkey, CAST(l_shipdate AS DATE)
 """
 _LAST = "{row}(l_orderkey, l_linenumber, l_extendedprice, l_discount)"
 
-# Symbol master: some suppliers are missing on purpose.
+# Symbol master: all suppliers, named by parts. Prices of every 11th supplier carry a symbol that
+# the master lacks on purpose.
 SYMBOLS = """
 SELECT 'NSE' AS exchange, {symbol} AS symbol,
        CASE WHEN s_suppkey % 10 = 0 THEN 'SM' ELSE 'EQ' END AS series,
-       concat(p_name, ' ', lower(p_type), ' Limited') AS name,
+       concat(coalesce(p_name, s_name), ' ', lower(coalesce(p_type, '')), ' Limited') AS name,
        CAST(date_add(DATE '1995-01-01', CAST(s_suppkey % 900 AS INT)) AS DATE)
            AS date_of_listing,
        s_suppkey % 10 = 0 AS is_sme
-FROM {supplier} JOIN {part} ON p_partkey = s_suppkey
-WHERE s_acctbal > 500
+FROM {supplier} LEFT JOIN {part} ON p_partkey = s_suppkey
 """
 
 # Mentions: suppliers naming part brands.
@@ -84,7 +88,7 @@ SELECT 'telegram' AS source, concat('ch', CAST(o_custkey % 40 AS {text})) AS cha
 FROM (
   SELECT o.*, p_name, p_type, p_size, {symbol} AS sym, {symbol2} AS sym2,
          concat(p_name, ' ', lower(p_type)) AS full_name
-  FROM {orders} o JOIN {part} p ON p_partkey = o_custkey % 100
+  FROM {orders} o JOIN {part} p ON p_partkey = {supplier_of}
 ) AS shaped
 """
 
@@ -111,13 +115,14 @@ def shape(name: str, dialect: str, tables: dict[str, str]) -> str:
         return SYMBOL.format(k=key, text=d["text"])
 
     parts = {
-        "DAILY_PRICES": (DAILY_PRICES, {"symbol": symbol("l_suppkey"),
+        "DAILY_PRICES": (DAILY_PRICES, {"symbol": UNLISTED.format(symbol=symbol("l_suppkey")),
                                         "last": _LAST.format(row=d["row"])}),
         "SYMBOLS": (SYMBOLS, {"symbol": symbol("s_suppkey")}),
         "CHANNEL_MENTIONS": (CHANNEL_MENTIONS, {
             "hours": d["minutes"].format(h="CAST(l_orderkey % 24 AS INT)")}),
         "CHANNEL_MESSAGES": (CHANNEL_MESSAGES, {
-            "symbol": symbol("o_custkey % 100"), "symbol2": symbol("(o_custkey + 1) % 100"),
+            "symbol": symbol(SUPPLIER_OF), "symbol2": symbol(f"({SUPPLIER_OF} + 1)"),
+            "supplier_of": SUPPLIER_OF,
             "hours": d["minutes"].format(h="CAST(o_orderkey % 24 AS INT)")}),
         "DOCUMENT_MESSAGES": (DOCUMENT_MESSAGES, {}),
         "ORDER_SCORES": (ORDER_SCORES, {}),

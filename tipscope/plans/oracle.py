@@ -351,16 +351,16 @@ SELECT 'NSE' AS exchange, concat('S', l_suppkey) AS symbol,
   count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS n_deliv_pct, 100.0::DOUBLE AS avg_price
 FROM lineitem WHERE l_linenumber NOT IN (6, 7) GROUP BY ALL""",
         "typed_symbol_master": """
-SELECT 'NSE' AS exchange, concat('SUP', s_suppkey) AS symbol,
-  CASE WHEN s_suppkey % 10 = 0 THEN 'ST' ELSE 'EQ' END AS series,
+SELECT 'NSE' AS exchange, concat('SUP', p_partkey) AS symbol,
+  CASE WHEN p_partkey % 10 = 0 THEN 'ST' ELSE 'EQ' END AS series,
   concat(p_name, ' Limited') AS name, CAST(NULL AS VARCHAR) AS isin,
-  CASE WHEN s_suppkey % 2 = 0 THEN 10.0::DOUBLE END AS face_value,
+  CASE WHEN p_partkey % 2 = 0 THEN 10.0::DOUBLE END AS face_value,
   CAST(p_size AS BIGINT) AS market_lot,
-  CASE WHEN s_suppkey % 4 <> 0 THEN CAST(DATE '2001-01-05' + CAST(s_suppkey AS INT) AS DATE) END
+  CASE WHEN p_partkey % 4 <> 0 THEN CAST(DATE '2001-01-05' + CAST(p_partkey AS INT) AS DATE) END
     AS date_of_listing,
-  s_suppkey % 10 = 0 AS is_sme, CASE WHEN s_suppkey % 2 = 0 THEN 'main' ELSE 'second' END
+  p_partkey % 10 = 0 AS is_sme, CASE WHEN p_partkey % 2 = 0 THEN 'main' ELSE 'second' END
     AS source_url
-FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey % 9 <> 0""",
+FROM part WHERE p_partkey % 9 <> 0""",
         "message_intake": """
 SELECT 'telegram' AS source, CAST(conv_id AS VARCHAR) AS channel_id,
   CAST(turn AS VARCHAR) AS message_id,

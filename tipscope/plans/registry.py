@@ -134,10 +134,8 @@ def daily_files(spark, sf):
 @query
 def typed_symbol_master(spark, sf):
     """Two untyped masters with different columns, typed and put together."""
-    su = driver_table(spark, sf, "supplier").join(
-        driver_table(spark, sf, "part"), F.col("p_partkey") == F.col("s_suppkey"))
-    key = F.col("s_suppkey")
-    raw = su.select(
+    key = F.col("p_partkey")
+    raw = driver_table(spark, sf, "part").select(
         key, F.concat(F.lit(" SUP"), key.cast("string")).alias("SYMBOL"),
         F.concat(F.col("p_name"), F.lit(" Limited ")).alias("NAME OF COMPANY"),
         F.when(key % 9 == 0, "").when(key % 10 == 0, "ST").otherwise("EQ").alias("SERIES"),
@@ -145,9 +143,9 @@ def typed_symbol_master(spark, sf):
             F.date_format(F.date_add(F.lit("2001-01-05").cast("date"), key.cast("int")),
                           "dd-MMM-yyyy")).alias("DATE OF LISTING"),
         F.col("p_size").cast("string").alias("MARKET LOT"), F.lit("10.00").alias("FACE VALUE"))
-    main = XF.type_master_rows(raw.where(key % 2 == 0).drop("s_suppkey"), source_url="main")
+    main = XF.type_master_rows(raw.where(key % 2 == 0).drop("p_partkey"), source_url="main")
     second = XF.type_master_rows(
-        raw.where(key % 2 == 1).drop("s_suppkey", "FACE VALUE"), source_url="second")
+        raw.where(key % 2 == 1).drop("p_partkey", "FACE VALUE"), source_url="second")
     return main.unionByName(second).drop("loaded_at")
 
 
