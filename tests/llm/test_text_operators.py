@@ -362,6 +362,29 @@ def test_random_strings_are_told_from_names():
         assert not secret_scan.random_spans(name, enc, secret_scan.CHARS_A_TOKEN)
 
 
+def test_random_strings_of_one_case_are_no_names(spark):
+    enc = tree_bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    rnd = random.Random(6)
+
+    def keys(letters, size, groups=1):
+        return ["-".join("".join(rnd.choice(letters) for _ in range(size)) for _ in range(groups))
+                for _ in range(200)]
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for some in (keys(upper, 20), keys(upper, 32), keys(lower, 20), keys(lower, 32),
+                 keys(upper, 5, 5), keys(upper, 4, 6), keys(lower, 5, 5)):
+        found = sum(bool(secret_scan.random_spans(f"x {k} y", enc, secret_scan.CHARS_A_TOKEN))
+                    for k in some)
+        assert found >= 170, some[0]
+    for name in ("MAX_BUFFER_SIZE_IN_BYTES", "INTERNATIONALIZATION_OF_THINGS",
+                 "etc/init/conf/dbus/udev/rc", "annual-report-2024-01-31-12",
+                 "donaudampfschifffahrtsgesellschaft"):
+        assert not secret_scan.random_spans(name, enc, secret_scan.CHARS_A_TOKEN), name
+    docs = table(spark, [f"key {keys(upper, 32)[0]} and XKQZP-WVJQH-BZRXT-QKJWV-PLXZD end"])
+    text = secret_scan.without_secrets(docs, RANKS, public_tokenizers.PATTERN).first().text
+    assert text == "key [SECRET] and [SECRET] end"
+
+
 def test_masking(spark):
     docs = table(spark, SECRET_TEXTS).withColumn("n_chars", F.length("text"))
     out = secret_scan.without_secrets(docs, RANKS, public_tokenizers.PATTERN)

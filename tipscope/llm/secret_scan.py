@@ -2,7 +2,7 @@
 
 A byte-pair vocabulary packs words and names into few tokens. Random strings fall into tokens of
 one or two characters. A run of key characters with fewer characters a token than a threshold is
-taken for a secret unless it has the shape of a known digest or identifier.
+taken for a secret unless it has the shape of a known digest, or of an identifier made of words.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))  # MD5, SHA-1, SHA-224 to
 DIGEST = re.compile(r"[0-9A-Fa-f]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
-#: Words, perhaps joined or numbered: file and variable names, paths, dates.
+#: Letter parts of one case, perhaps joined or numbered: file and variable names, paths, dates; but
+#: also keys, so the letters must pack like words too.
 IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8})(?:[-_/+=]+"
                         r"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8}))*[-_/+=]*")
+LETTERS = re.compile(r"[A-Za-z]+")
 CHARS_A_TOKEN = 1.9
 
 Span = tuple[str, int, int]
@@ -52,16 +54,26 @@ def base_spans(text: str) -> list[Span]:
 
 
 def is_known_shape(run: str) -> bool:
-    """Digests by length, UUIDs, numbers, and names made of words."""
+    """Digests by length, UUIDs and numbers."""
     return bool((DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS) or UUID.fullmatch(run)
-                or NUMBER.fullmatch(run) or IDENTIFIER.fullmatch(run))
+                or NUMBER.fullmatch(run))
+
+
+def is_name(run: str, enc, chars_a_token: float) -> bool:
+    """Whether a run has the shape of an identifier and its letters pack like words; digits and
+    joining marks, which cost a token each, don't count against it."""
+    if not IDENTIFIER.fullmatch(run):
+        return False
+    parts = LETTERS.findall(run)
+    return sum(map(len, parts)) >= chars_a_token * sum(len(enc.encode_ordinary(p)) for p in parts)
 
 
 def random_spans(text: str, enc, chars_a_token: float) -> list[Span]:
     """Runs that a token covers fewer than ``chars_a_token`` characters of, on average."""
     return [("random", m.start(), m.end()) for m in RUN.finditer(text)
             if not is_known_shape(m[0])
-            and len(m[0]) < chars_a_token * len(enc.encode_ordinary(m[0]))]
+            and len(m[0]) < chars_a_token * len(enc.encode_ordinary(m[0]))
+            and not is_name(m[0], enc, chars_a_token)]
 
 
 def scan(text: str | None, enc, chars_a_token: float) -> tuple[list[Span], list[Span]]:
