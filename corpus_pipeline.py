@@ -24,8 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels of kept documents, takes for good."""
-    return keep_quality(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier takes for good. It learns from the labels of all documents:
+    of those that the rules keep, hardly any is labelled bad."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"),
+                        taught_by=table(spark, sf_dir, "documents"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

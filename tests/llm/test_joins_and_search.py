@@ -378,6 +378,33 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in pieces.collect()} == set(range(n))
 
 
+def test_pipeline_rejects_bad_documents_that_pass_the_rules(spark, tmp_path):
+    rnd = random.Random(13)
+
+    def vocabulary(letters):
+        return ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 7))) for _ in range(300)]
+
+    def prose(words, least):
+        return " ".join(rnd.choice(words) for _ in range(rnd.randint(least, 2 * least)))
+
+    good, bad = vocabulary("abcdefghijklm"), vocabulary("nopqrstuvwxyz")
+    # All documents labelled 0 are too short for the rules; the long ones like them have no label.
+    texts = [prose(good, 80) for _ in range(200)] + [prose(bad, 80) for _ in range(15)]
+    texts += [prose(bad, 15) for _ in range(150)]
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 200), 0) for i in [*range(0, 200, 2), *range(215, 365)]],
+                          "doc_id long, quality int, toxic int"
+                          ).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    passed = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in passed.select("doc_id").collect()} == {*range(215)}
+    kept = corpus_pipeline.quality_classifier(spark, passed, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(range(200))
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     pipeline_docs(spark, tmp_path / "full")
     for name in ("documents", "labels"):

@@ -201,8 +201,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", *
     ).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Rows of ``docs`` that the classifier does not reject, with all their columns."""
-    model = train(docs, labels, label)
+def keep_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", *,
+                 taught_by: DataFrame | None = None) -> DataFrame:
+    """Rows of ``docs`` that the classifier does not reject, with all their columns. It learns from
+    the labelled rows of ``taught_by``, or of ``docs`` themselves."""
+    model = train(docs if taught_by is None else taught_by, labels, label)
     score = _scores(docs.sparkSession.sparkContext.broadcast(model))
     return docs.where(score(F.col("text").cast("string")) >= 0.5)
