@@ -439,6 +439,29 @@ def test_scorer_equals_the_plain_mean():
         assert scorer.score(text) == pytest.approx((p / p.sum())[1], rel=1e-6)
 
 
+def test_classifier_learns_from_whole_texts(spark):
+    good, bad = mixed_quality(60)
+    texts = [" ".join(good[:40]) + f" {k}" for k in range(6)] + [" ".join(bad + good[:40])] * 6
+    assert min(map(len, texts)) > 16_000
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)], "doc_id long, quality int")
+    got = subword_classifier.train(docs, labels, apart=3)
+    ids = sorted((r._h, r.i) for r in spark.range(12).select(
+        F.col("id").alias("i"), F.xxhash64("id").alias("_h")).collect())
+    want = subword_classifier.fit([texts[i] for _, i in ids], np.array([int(i < 6) for _, i in ids]))
+    assert np.array_equal(got.vectors, want.vectors) and np.array_equal(got.bias, want.bias)
+
+
+def test_feature_counts_equal_plain_ones():
+    counter = subword_classifier.FeatureCounter()
+    for text in ODD_TEXTS + corpus(20):
+        words, repeats = subword_classifier.words_with_marks(text)
+        want = Counter(f for w in words + [subword_classifier.AGAIN] * repeats
+                       for f in subword_classifier.word_features(w))
+        rows, times = counter.count(text)
+        assert dict(zip(rows.tolist(), times.tolist())) == want
+
+
 def test_classifier_odd_cases(spark):
     docs, labels, _ = labelled(spark)
     rows = subword_classifier.quality_scores(awkward(spark), labels).collect()

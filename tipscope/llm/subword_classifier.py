@@ -3,7 +3,8 @@
 Features of a document are its words, the character n-grams of each word, and a mark for each word
 that repeats, with the word before it, an earlier place of the text. Features are hashed to rows of
 an embedding table; a document is the mean of its features' vectors; a softmax layer follows. Both
-are learned by stochastic gradient descent in numpy, on a bounded sample of labelled rows.
+are learned by stochastic gradient descent in numpy, on a bounded sample of labelled rows. Tasks
+count the features of whole texts; the driver gets only the counts.
 
 The score is linear in the mean, so for scoring each word needs one number, remembered while a task
 runs: a text costs one look-up for each word.
@@ -11,6 +12,7 @@ runs: a text costs one look-up for each word.
 
 from __future__ import annotations
 
+from collections import Counter as Words
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 from tipscope.llm.common import GOLDEN, id_remainder, mix
 
 #: Labelled rows of each class to learn from, at most; rows of the table of vectors; and so on.
-SAMPLE_ROWS, BUCKETS, WIDTH = 1_500, 1 << 16, 8
+SAMPLE_ROWS, BUCKETS, WIDTH = 2_000, 1 << 16, 8
 GRAMS = (3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 7
 AGAIN = b"\x00again"
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 def word_features(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -89,8 +92,38 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(total / max(n, 1) + self.bias, -500.0, 500.0)))
 
 
-def fit(texts: list[str], labels: np.ndarray, *, epochs: int = EPOCHS, rate: float = RATE,
-        buckets: int = BUCKETS, width: int = WIDTH, seed: int = SEED) -> Model:
+class FeatureCounter:
+    """Counts the hashed features of whole texts, remembering the features of words."""
+
+    def __init__(self, buckets: int = BUCKETS, limit: int = 50_000):
+        self.buckets, self.limit = buckets, limit
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def count(self, text: str | None) -> Counts:
+        """Rows of the table, ascending, and how often each occurs."""
+        words, repeats = words_with_marks(text)
+        if len(self.known) > self.limit:
+            self.known.clear()
+        often = Words(words)
+        if repeats:
+            often[AGAIN] += repeats
+        for word in often.keys() - self.known.keys():
+            self.known[word] = np.array(word_features(word, self.buckets), np.int32)
+        parts = [self.known[w] for w in often]
+        rows = np.concatenate(parts or [np.empty(0, np.int32)])
+        times = np.repeat(np.fromiter(often.values(), np.int64, len(often)), [*map(len, parts)])
+        total = np.bincount(rows, times, self.buckets)
+        found = np.flatnonzero(total)
+        return found.astype(np.int32), total[found].astype(np.int32)
+
+
+def fit(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, **options) -> Model:
+    """Learn from whole texts; see ``fit_counts``."""
+    return fit_counts([*map(FeatureCounter(buckets).count, texts)], labels, buckets=buckets, **options)
+
+
+def fit_counts(docs: list[Counts], labels: np.ndarray, *, epochs: int = EPOCHS, rate: float = RATE,
+               buckets: int = BUCKETS, width: int = WIDTH, seed: int = SEED) -> Model:
     """Learn the table and the softmax layer; classes weigh the same in the loss.
 
     Without rows of both classes the model gives every text one half, or the one class there is.
@@ -102,20 +135,6 @@ def fit(texts: list[str], labels: np.ndarray, *, epochs: int = EPOCHS, rate: flo
     if not counts.all():
         bias[:] = np.where(counts > 0, 2.0, 0.0)
         return Model(vectors, weights, bias)
-    seen: dict[bytes, np.ndarray] = {}
-
-    def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-        words, repeats = words_with_marks(text)
-        if len(seen) > 50_000:
-            seen.clear()
-        for word in {AGAIN, *words}.difference(seen):
-            seen[word] = np.array(word_features(word, buckets), np.int32)
-        parts = [seen[w] for w in words] + [seen[AGAIN]] * repeats
-        rows, n = np.unique(np.concatenate(parts or [np.empty(0, np.int32)]), return_counts=True)
-        return rows, n.astype(np.int32)
-
-    docs = [features(t) for t in texts]
-    seen.clear()
     balance = counts.sum() / (2.0 * counts)
     steps, total = 0, epochs * len(docs)
     # The softmax starts at zero, so the vectors move only once it has a direction.
@@ -160,16 +179,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, *, parts: int,
     return texts.join(ids, "doc_id").select("doc_id", "text", "label", "_h")
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counter = FeatureCounter()
+    for batch in batches:
+        counts = [counter.count(t) for t in batch["text"]]
+        yield batch[["doc_id", "label", "_h"]].assign(
+            features=[rows.astype("<i4").tobytes() for rows, _ in counts],
+            times=[n.astype("<i4").tobytes() for _, n in counts])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, parts: int = 3,
-          apart: int = 1, rows: int = SAMPLE_ROWS, chars: int = 8_000) -> Model:
-    """Fit on the bounded sample; each sample text teaches by at most ``chars`` characters from
-    its middle, which bounds the driver's memory. Scoring reads whole texts."""
+          apart: int = 1, rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on the bounded sample of rows. Tasks count the features of each whole text, so the
+    driver gets at most ``BUCKETS`` pairs of numbers for each."""
     sample = training_rows(docs, labels, label, parts=parts, apart=apart, rows=rows)
-    middle = F.greatest(F.floor((F.length("text") - chars) / 2), F.lit(0)).cast("int") + 1
-    found = (sample.withColumn("text", F.substring("text", middle, F.lit(chars)))
-             .groupBy("doc_id", "label", "_h").agg(F.first("text").alias("text")))
-    got = sorted(found.collect(), key=lambda r: (r["_h"], r["doc_id"]))
-    return fit([r["text"] for r in got], np.array([r["label"] for r in got], int))
+    counted = sample.mapInPandas(
+        _counted, "doc_id long, label int, _h long, features binary, times binary")
+    # Of rows that share an id, one text teaches.
+    found = counted.groupBy("doc_id", "label", "_h").agg(
+        F.min(F.struct("features", "times")).alias("text"))
+    got = sorted(found.select("doc_id", "label", "_h", "text.*").collect(),
+                 key=lambda r: (r["_h"], r["doc_id"]))
+    counts = [(np.frombuffer(r["features"], "<i4"), np.frombuffer(r["times"], "<i4")) for r in got]
+    return fit_counts(counts, np.array([r["label"] for r in got], int))
 
 
 def _scores(model):
