@@ -34,8 +34,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 WATCH_AS_OF = datetime(1998, 6, 30, 12)
-# Boosting rounds of the registered model queries; the library default is 400.
-QUERY_ROUNDS = 10
 
 
 def query(build: Query) -> Query:
@@ -479,7 +477,7 @@ def score_replies(spark, sf):
 @query
 def model_risk_scores(spark, sf):
     """Scores with a trained model end to end."""
-    model = _small_model(spark, sf)
+    model = _model(spark, sf)
     tagged = materialize(RS.tag_mentions(messages(spark, sf), symbols(spark, sf)), "mentions")
     return P.score_messages(
         messages(spark, sf), symbols(spark, sf), features(spark, sf), model, tagged,
@@ -551,28 +549,27 @@ def _split(spark, sf):
     return materialize(D.temporal_split(materialize(_dataset(spark, sf), "dataset")), "split")
 
 
-def _small_model(spark, sf):
-    return ML.fit(_split(spark, sf), max_iter=QUERY_ROUNDS, step_size=0.1, min_leaf=20)
+def _model(spark, sf):
+    return ML.fit(_split(spark, sf))
 
 
 @query
 def model_scores(spark, sf):
     """Calibrated probability of every symbol's newest features."""
     latest = FE.newest_features(prices(spark, sf), symbols(spark, sf))
-    return ML.score_latest(_small_model(spark, sf), latest).select(
+    return ML.score_latest(_model(spark, sf), latest).select(
         *SESSION_KEY, "susceptibility")
 
 
 @query
 def model_report(spark, sf):
     """Headline metrics of a model that passed the gate."""
-    _, reports = ML.train(_dataset(spark, sf), max_iter=QUERY_ROUNDS, step_size=0.1,
-                          min_leaf=20)
+    _, reports = ML.train(_dataset(spark, sf))
     return reports["headline"]
 
 
 @query
 def permutation_importance(spark, sf):
     split = _split(spark, sf)
-    model = ML.fit(split, max_iter=QUERY_ROUNDS, step_size=0.1, min_leaf=20)
+    model = ML.fit(split)
     return ML.permutation_importance(model, split.where("split = 'test'").drop("split"))
