@@ -1,4 +1,4 @@
-"""The ten queries, with their production parameters, and their checking SQL where SQL can tell."""
+"""The dealt queries, with their production parameters, and their checking SQL where SQL can tell."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipscope.llm import (interpolation, learned_partitions, retrieval_packing, secret_scan,
-                          set_join, spliced_counts, subword_classifier, tree_bpe, url_cascade,
-                          weak_rules)
+from tipscope.llm import (alignment, interpolation, learned_partitions, retrieval_packing,
+                          secret_scan, set_join, spelling_variants, spliced_counts,
+                          subword_classifier, toxicity, tree_bpe, url_cascade, weak_rules)
 from tipscope.llm import checking_sql
 from tipscope.llm.common import table
 
@@ -65,11 +65,27 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       F.col("vec_id") % 50 == 0)
 
 
+def op11_cut_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"),
+                                      public_tokenizers.path("byte_bpe_50k.json"),
+                                      public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_interpolated_scores, op2_quality_votes, op3_url_verdicts, op4_spliced_counts,
         op5_jaccard_components, op6_tree_bpe, op7_secret_spans, op8_retrieval_packing,
-        op9_subword_scores, op10_learned_partitions)}
+        op9_subword_scores, op10_learned_partitions, op11_cut_alignment, op12_toxicity_trees,
+        op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
