@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -477,7 +478,7 @@ def score_replies(spark, sf):
 @query
 def model_risk_scores(spark, sf):
     """Scores with a trained model end to end."""
-    model = _model(spark, sf)
+    model = _trained(spark, sf)[1]
     tagged = materialize(RS.tag_mentions(messages(spark, sf), symbols(spark, sf)), "mentions")
     return P.score_messages(
         messages(spark, sf), symbols(spark, sf), features(spark, sf), model, tagged,
@@ -549,27 +550,28 @@ def _split(spark, sf):
     return materialize(D.temporal_split(materialize(_dataset(spark, sf), "dataset")), "split")
 
 
-def _model(spark, sf):
-    return ML.fit(_split(spark, sf))
+@lru_cache(maxsize=4)
+def _trained(spark, sf):
+    """The split of an input and the default model, fitted once for all queries of a session."""
+    split = _split(spark, sf)
+    return split, ML.fit(split)
 
 
 @query
 def model_scores(spark, sf):
     """Calibrated probability of every symbol's newest features."""
     latest = FE.newest_features(prices(spark, sf), symbols(spark, sf))
-    return ML.score_latest(_model(spark, sf), latest).select(
-        *SESSION_KEY, "susceptibility")
+    return ML.score_latest(_trained(spark, sf)[1], latest).select(*SESSION_KEY, "susceptibility")
 
 
 @query
 def model_report(spark, sf):
     """Headline metrics of a model that passed the gate."""
-    _, reports = ML.train(_dataset(spark, sf))
-    return reports["headline"]
+    split, model = _trained(spark, sf)
+    return ML.judge(model, split)["headline"]
 
 
 @query
 def permutation_importance(spark, sf):
-    split = _split(spark, sf)
-    model = ML.fit(split)
+    split, model = _trained(spark, sf)
     return ML.permutation_importance(model, split.where("split = 'test'").drop("split"))
