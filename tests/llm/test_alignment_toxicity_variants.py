@@ -112,6 +112,21 @@ def test_cuts_are_the_shared_ends_at_any_block_size():
             assert a[at_a].tolist() == b[at_b].tolist() == want.tolist()
 
 
+def test_stretches_are_encoded_as_in_the_whole_text(monkeypatch):
+    both = alignment.Pairing(BYTES, PIECES)
+    assert both.separable
+    rnd = random.Random(8)
+    letters = "ab THE's 'll 12 .,!  \n\t\u00a0\u2581é×漢🚀\x1c\x85<s>"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 40))) for _ in range(3000)]
+    texts += corpus(20) + ["  a", "a  b", " a b ", "don't 'tis x's", "\ufb01 x", "é é"]
+    whole = [(a, b) if both.covers(t, a, b) else None
+             for t, (a, b) in zip(texts, both.whole(texts))]
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
+    parts = [got and (got[0].tolist(), got[1].tolist()) for k in range(0, len(texts), 100)
+             for got in both.encode(texts[k:k + 100])]
+    assert parts == whole and not all(whole)
+
+
 def test_linkable_pairs_are_suffixes():
     both = alignment.pairing(BYTES, PIECES)
     n = len(both.bytes_b)

@@ -8,6 +8,11 @@ An interval is split at a shared end near its middle, found by bisecting ends of
 B in growing windows; both halves go on alone. Intervals of few tokens bisect all their ends at once.
 What lies between two neighbouring cuts holds no shared end and is one group.
 
+Encoding is most of the work, and words repeat. A text is cut at single spaces between printable ASCII
+or Latin letters: there A's pattern starts a new match, and no piece of B holds a space behind another
+character, so neither merges across such a place. Both are checked when the files are loaded. What lies
+between is encoded once and remembered; with other files texts are encoded whole.
+
 Two linked tokens end at the same byte, so the bytes of one are a suffix of the other's. The pairs
 that can ever be linked are therefore known from the two vocabularies alone; their counts over a
 corpus of any size are one array of that fixed length (``Pairing.keys``), which may be broadcast.
@@ -15,8 +20,12 @@ corpus of any size are one array of that fixed length (``Pairing.keys``), which
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,15 +42,84 @@ BLOCK, WINDOW = 1024, 8
 #: Characters that are encoded together, and that an output batch holds, at least.
 BATCH_CHARS, OUT_CHARS = 1 << 18, 1 << 23
 SPACE_MARK = "▁"
+#: Stretches between safe cuts that a worker remembers.
+REMEMBERED = 400_000
+_SAFE = "[!-~À-ÖØ-öø-ÿ]"
+_STRETCHES = re.compile(f" (?<={_SAFE} )(?={_SAFE})").split
+# Fixed values of the tokenizer file: how A cuts a text before it merges.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
+               "use_regex": True}
 
 ALIGNED = ("doc_id long, n_a long, n_b long, n_groups long, groups string, "
            "pairs binary, times binary")
 
 
+class _Growing:
+    """An array that numbers are appended to. Place -1 holds a zero."""
+
+    def __init__(self, kind: type):
+        self.values, self.used = np.zeros(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        used = self.used + len(more)
+        if used >= len(self.values):  # the last place stays free
+            self.values = np.concatenate([self.values, np.zeros(used, self.values.dtype)])
+        self.values[self.used:used] = more
+        self.used = used
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return self.values[places].astype(np.int64)
+
+
+class Stretches(dict):
+    """Stretch of a text -> its number; under it the ends of its ids in two long arrays."""
+
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.ids_a, self.ids_b = _Growing(np.int32), _Growing(np.int32)
+        self.ends_a, self.ends_b = _Growing(np.int64), _Growing(np.int64)
+        self.odd = _Growing(np.int8)  # those that the tokens do not spell
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        self.new.append(part)
+        return number
+
+    def learn(self, both: Pairing) -> None:
+        """Encode the stretches that were asked for and not known."""
+        if not self.new:
+            return
+        found = list(zip(*both.whole(self.new)))
+        spelt = [b" " + part.encode("utf-8") for part in self.new]
+        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        fine = True
+        for by, ids, ends, size, known in (
+                (found[0], self.ids_a, self.ends_a, both.size_a, both.bytes_a),
+                (found[1], self.ids_b, self.ends_b, both.size_b, both.bytes_b)):
+            counts = np.fromiter(map(len, by), np.int64, len(by))
+            flat = np.fromiter(chain.from_iterable(by), np.int32, counts.sum())
+            ends.add(counts.cumsum() + ids.used)
+            ids.add(flat)
+            # All bytes together and the length of each stretch: then each one's bytes.
+            upto = np.append(0, size[flat].cumsum())[np.append(0, counts.cumsum())]
+            fine = (fine and np.array_equal(np.diff(upto), sizes)
+                    and b"".join(map(known.__getitem__, flat.tolist())) == b"".join(spelt))
+        odd = (np.zeros(len(self.new), np.int8) if fine else np.array(
+            [not both.covers(part, *ids) for part, *ids in zip(self.new, *found)], np.int8))
+        self.odd.add(odd)
+        self.new = []
+
+
 class Pairing:
     """Both tokenizers, the bytes of their tokens, and all pairs of ids that can be linked."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # special strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -57,6 +135,8 @@ class Pairing:
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.keys = self._linkable()
+        self.separable = self._separable()
+        self.known = Stretches()
         largest = max(len(self.bytes_a), len(self.bytes_b))
         self.width = largest
         self.printed = [f"{k}{mark}" for mark in ",|;" for k in range(largest)]
@@ -77,17 +157,43 @@ class Pairing:
                  for a in in_a.get(token[s:], ())]
         return np.unique(np.array(keys, np.int64))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids by A and by B of each text."""
+    def _separable(self) -> bool:
+        """Whether stretches between safe cuts may be encoded apart."""
+        spec = json.loads(self.a.to_str())
+        return (spec["normalizer"] is None and spec["pre_tokenizer"] == _BYTE_LEVEL
+                and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in
+                            map(self.b.id_to_piece, range(self.b.get_piece_size()))))
+
+    def whole(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids by A and by B of each text as a whole."""
         encoded = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         for by_a, by_b in zip(encoded, self.b.encode(texts, num_threads=1)):
-            yield np.array(by_a.ids, np.int64), np.array(by_b, np.int64)
+            yield by_a.ids, by_b
 
-    def covers(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
+    def covers(self, text: str, a: list[int], b: list[int]) -> bool:
         """Whether the bytes of both token lists are those of a space and the text."""
         whole = b" " + text.encode("utf-8")
-        return (whole == b"".join(map(self.bytes_a.__getitem__, a.tolist()))
-                and whole == b"".join(map(self.bytes_b.__getitem__, b.tolist())))
+        return (whole == b"".join(map(self.bytes_a.__getitem__, a))
+                and whole == b"".join(map(self.bytes_b.__getitem__, b)))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids by A and by B of each text that is not empty; None where they do not spell it."""
+        parts = [_STRETCHES(t) if self.separable else [t] for t in texts]
+        known = self.known
+        if len(known) > REMEMBERED or not self.separable:
+            known.forget()
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64)
+        known.learn(self)
+        first = np.cumsum([0, *map(len, parts[:-1])])
+        odd = np.logical_or.reduceat(known.odd.of(at) != 0, first)
+        sides = []
+        for ids, ends in ((known.ids_a, known.ends_a), (known.ids_b, known.ends_b)):
+            stop = ends.of(at)
+            size = stop - ends.of(at - 1)  # the place before the first holds a zero
+            place = np.arange(size.sum()) + np.repeat(stop - size.cumsum(), size)
+            sides.append(np.split(ids.of(place), np.add.reduceat(size, first).cumsum()[:-1]))
+        for k, (a, b) in enumerate(zip(*sides)):
+            yield None if odd[k] else (a, b)
 
     def groups_text(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray,
                     last_b: np.ndarray) -> str:
@@ -183,16 +289,17 @@ def _aligned(path_a: str, path_b: str, block: int):
             rows, chars = blank, 0
             for lot in _batches(texts):
                 encoded = both.encode([t for _, t in lot])
-                for (k, text), (a, b) in zip(lot, encoded):
-                    if not both.covers(text, a, b):
+                for (k, _), found in zip(lot, encoded):
+                    if found is None:
                         rows.append((ids[k], 0, 0, 0, "", b"", b""))
                         continue
+                    a, b = found
                     last_a, last_b = shared_cuts(both.size_a[a].cumsum(), both.size_b[b].cumsum(),
                                                  block)
                     groups = both.groups_text(a, b, last_a, last_b)
-                    linked = np.searchsorted(
-                        both.keys, a[last_a] * len(both.bytes_b) + b[last_b])
-                    pairs, times = np.unique(linked, return_counts=True)
+                    linked, times = np.unique(a[last_a] * len(both.bytes_b) + b[last_b],
+                                              return_counts=True)
+                    pairs = np.searchsorted(both.keys, linked)
                     rows.append((ids[k], len(a), len(b), len(last_a), groups,
                                  pairs.astype("<i4").tobytes(), times.astype("<i4").tobytes()))
                     chars += len(groups)
