@@ -64,31 +64,51 @@ class Model:
         return float(self.vectors[features].sum(axis=0) @ side)
 
 
+class WordNumbers(dict):
+    """Word -> a number, under which ``values`` and ``counts`` hold what its features add and how
+    many they are."""
+
+    def __init__(self, table: np.ndarray):
+        super().__init__()
+        self.table = table
+        self.values, self.counts = np.zeros(1 << 12), np.zeros(1 << 12, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        features = word_features(word, len(self.table))
+        number = self[word] = len(self)
+        if number == len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(number)])
+            self.counts = np.concatenate([self.counts, np.zeros(number, np.int64)])
+        self.values[number] = self.table[features].sum()
+        self.counts[number] = len(features)
+        return number
+
+
 class Scorer:
-    """Scores texts with a model, remembering the value and the feature count of each word."""
+    """Scores texts with a model. A text becomes the array of its words' numbers, from which come
+    the sums over its features and, as pairs of neighbours, the repeats."""
 
     def __init__(self, model: Model, limit: int = 300_000):
-        self.buckets, self.limit = len(model.vectors), limit
-        self.values = model.vectors @ (model.weights[:, 1] - model.weights[:, 0])
+        self.limit = limit
+        self.table = model.vectors @ (model.weights[:, 1] - model.weights[:, 0])
         self.bias = float(model.bias[1] - model.bias[0])
-        self.known: dict[bytes, tuple[float, int]] = {}
-        self.again = self._look_up(AGAIN)
-
-    def _look_up(self, word: bytes) -> tuple[float, int]:
-        features = word_features(word, self.buckets)
-        value = self.known[word] = (float(self.values[features].sum()), len(features))
-        return value
+        again = word_features(AGAIN, len(self.table))
+        self.again = float(self.table[again].sum()), len(again)
+        self.numbers = WordNumbers(self.table)
 
     def score(self, text: str | None) -> float:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        words, repeats = words_with_marks(text)
-        get, look = self.known.get, self._look_up
-        total, n = repeats * self.again[0], repeats * self.again[1]
-        for word in words:
-            value, count = get(word) or look(word)
-            total += value
-            n += count
+        if len(self.numbers) > self.limit:
+            self.numbers = WordNumbers(self.table)
+        words = (text or "").encode("utf-8").split()
+        known = self.numbers
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        repeats = 0
+        if len(at) > 2:
+            pairs = (at[:-1] << 32) | at[1:]
+            pairs.sort()
+            repeats = int(np.count_nonzero(pairs[1:] == pairs[:-1]))
+        total = known.values[at].sum() + repeats * self.again[0]
+        n = int(known.counts[at].sum()) + repeats * self.again[1]
         return 1.0 / (1.0 + np.exp(-np.clip(total / max(n, 1) + self.bias, -500.0, 500.0)))
 
 
