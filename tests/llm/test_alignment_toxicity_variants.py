@@ -353,3 +353,61 @@ def test_one_deletion_follows_the_hash():
         got = spelling_variants.misspelt("7", f"wörd{k}")
         h = zlib.crc32(f"7:wörd{k}".encode())
         assert len(got) == len(f"wörd{k}") - (h % 199 == 0)
+
+
+# stages -------------------------------------------------------------------------------------
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def clashing(spark):
+    """Rows with names that the stages use, a dotted name, an id of several texts, odd texts."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8))) for _ in range(300)]
+    text = " ".join(rnd.choice(words) for _ in range(90))
+    other = " ".join(rnd.choice(words) for _ in range(90))
+    rows = [(1, text, "x"), (1, text, "y"), (1, text + " end", "x"), (1, other, "x"),
+            (2, text, "x"), (3, other + " end", "x"), (None, text, "x"), (None, text, "x"),
+            (4, None, "x"), (4, "", "x"), (5, None, "z"), (6, text * 60, "x"),
+            (7, 'token = "Zk3vQ9xW1pL7rT5yB2nM" ' + other[::-1], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    return df.withColumns({"_text": F.lit("t"), "_clean": F.lit("c"), "a.b": F.lit(1),
+                           "_row": F.lit("r"), "digest": F.lit(b"d"), "_h": F.lit(2),
+                           "component_id": F.lit("k"), "n_words": F.lit(3)})
+
+
+def test_keep_first_with_clashing_names_and_shared_ids(spark):
+    from tipscope.llm.set_join import keep_first
+
+    docs = clashing(spark)
+    got = keep_first(docs)
+    assert got.dtypes == docs.dtypes
+    rows = got.collect()
+    assert all((r._text, r._clean, r["a.b"], r._row, r._h, r.component_id) ==
+               ("t", "c", 1, "r", 2, "k") for r in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in rows
+                  if r.doc_id != 1) == sorted(
+        (r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in docs.collect()
+        if r.doc_id in (None, 4, 5, 7))  # the long text of id 6 has the shingles of id 1
+    # Id 1 keeps one text of each of its two groups, whatever else is near them.
+    assert len([r for r in rows if r.doc_id == 1]) == 2
+    assert sorted(map(str, keep_first(docs.repartition(7)).collect())) == sorted(map(str, rows))
+    assert keep_first(docs.limit(0)).count() == 0
+
+
+def test_other_stages_with_clashing_names(spark):
+    from tipscope.llm import secret_scan, subword_classifier, weak_rules
+
+    docs = clashing(spark)
+    masked = secret_scan.without_secrets(docs, RANKS, public_tokenizers.PATTERN)
+    assert masked.dtypes == docs.dtypes and masked.count() == docs.count()
+    rows = masked.collect()
+    assert {r._clean for r in rows} == {"c"} and {r._text for r in rows} == {"t"}
+    assert all("Zk3vQ9xW1pL7rT5yB2nM" not in (r.text or "") for r in rows)
+    good = weak_rules.keep_good(docs)
+    assert good.columns == docs.columns and {r.n_words for r in good.collect()} <= {3}
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert subword_classifier.keep_quality(docs, labels).count() == docs.count()
+    for stage in (lambda d: secret_scan.without_secrets(d, RANKS, public_tokenizers.PATTERN),
+                  weak_rules.keep_good, lambda d: subword_classifier.keep_quality(d, labels)):
+        assert stage(docs.limit(0)).count() == 0

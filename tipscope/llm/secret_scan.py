@@ -138,7 +138,11 @@ def secret_spans(docs: DataFrame, path: str, pattern: str, *,
 def without_secrets(docs: DataFrame, path: str, pattern: str, *,
                     chars_a_token: float = CHARS_A_TOKEN) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and, where there is such a column, n_chars counted
-    again. All rows and columns stay; texts without a secret stay as they are."""
+    again. All rows and columns stay; texts without a secret stay as they are.
+
+    Defined cases: a null or empty text stays as it is; repeated rows are masked alike; an empty
+    table gives no rows; other columns may have any name.
+    """
     @F.pandas_udf("string")
     def mask(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:  # noqa: D103
         enc = encoding(path, pattern)
@@ -146,9 +150,12 @@ def without_secrets(docs: DataFrame, path: str, pattern: str, *,
             yield pd.Series([redacted(t, sum(scan(t, enc, chars_a_token), [])) for t in batch],
                             dtype=object)
 
-    out = docs.withColumn("_clean", mask(F.col("text").cast("string")))
-    columns = [F.col("_clean").alias("text") if c == "text"
-               else F.when(F.col("_clean") == F.col("text"), F.col(c))
-               .otherwise(F.length("_clean")).cast(docs.schema[c].dataType).alias(c)
+    clean, taken = "_clean", {c.lower() for c in docs.columns}
+    while clean in taken:
+        clean += "_"
+    out = docs.withColumn(clean, mask(F.col("text").cast("string")))
+    columns = [F.col(clean).alias("text") if c == "text"
+               else F.when(F.col(clean) == F.col("text"), F.col(c))
+               .otherwise(F.length(clean)).cast(docs.schema[c].dataType).alias(c)
                if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)

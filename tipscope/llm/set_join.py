@@ -22,6 +22,7 @@ one order gives exact results; rarity only makes lists short.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,14 +71,16 @@ def _summaries(words: int):
         for batch in batches:
             sets = [shingle_set(t, words, known) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "class": [_class_id(s) for s in sets],
+                "doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"],
+                "class": [_class_id(s) for s in sets],
                 "n": np.array([len(s) for s in sets], np.int64), "bucket": -1})
             if sets:
                 every = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
                 counts += np.bincount(every.astype(np.int64), minlength=len(counts))
         used = np.flatnonzero(counts)
         for part in np.array_split(used, max(1, len(used) // 50_000)):
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(part), "Int64"), "class": None,
+            yield pd.DataFrame({"doc_id": pd.array([None] * len(part), "Int64"), "digest": None,
+                                "class": None,
                                 "n": counts[part], "bucket": part})
     return run
 
@@ -86,16 +89,20 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All (at, n) of a task in one row of two packed arrays: the driver gets bytes, not rows."""
     parts = list(batches)
     if parts:
-        whole = pd.concat(parts)
-        yield pd.DataFrame({"at": [whole["at"].to_numpy().astype("<u4").tobytes()],
-                            "n": [whole["n"].to_numpy().astype("<i8").tobytes()]})
+        whole = pd.concat(parts).sort_values("at")
+        at, n = whole["at"].to_numpy().astype("<u4"), whole["n"].to_numpy().astype("<i8")
+        yield pd.DataFrame({"at": [zlib.compress(np.diff(at, prepend=at[:1]).tobytes(), 1)],
+                            "first": at[:1].astype(np.int64),
+                            "n": [zlib.compress(n.tobytes(), 1)]})
 
 
 def _gathered(rows: DataFrame, size: int) -> np.ndarray:
     """Numbers ``n`` at places ``at`` of a table of fixed ``size``; 0 elsewhere."""
     out = np.zeros(size, np.int64)
-    for row in rows.mapInPandas(_packed, "at binary, n binary").collect():
-        out[np.frombuffer(row["at"], "<u4")] = np.frombuffer(row["n"], "<i8")
+    for row in rows.mapInPandas(_packed, "at binary, first long, n binary").collect():
+        steps = np.frombuffer(zlib.decompress(row["at"]), "<u4")
+        out[row["first"] + steps.cumsum(dtype=np.int64)] = np.frombuffer(
+            zlib.decompress(row["n"]), "<i8")
     return out
 
 
@@ -269,9 +276,13 @@ def _cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
+                       digests: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text).
 
+    With ``digests`` also the digest of each text and the root of its component, which tell rows and
+    components apart that share an id.
+
     Shingles are runs of ``words`` words with A-Z lower-cased (a text with fewer words is one
     shingle); two texts link when 100 * intersection >= ``percent`` * union. component_id is the
     smallest doc_id reachable by links. Runs jobs while it is built.
@@ -283,18 +294,20 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
-    summaries = materialize(texts.mapInPandas(
-        _summaries(words), "doc_id long, class binary, n long, bucket long"), "sets")
+    digest = _digest("text") if digests else F.lit(None).cast("binary")
+    summaries = materialize(texts.withColumn("digest", digest).mapInPandas(
+        _summaries(words), "doc_id long, digest binary, class binary, n long, bucket long"), "sets")
     rows = summaries.where("bucket < 0").drop("bucket")
     counts = summaries.where("bucket >= 0").groupBy(F.col("bucket").alias("at")).agg(
         F.sum("n").alias("n"))
-    table = _gathered(counts, 1 << SKETCH_BITS)
     # Ranks instead of counts: only the order matters, and 32 bits hold it at any scale.
-    order = spark.sparkContext.broadcast(np.unique(table, return_inverse=True)[1].astype(np.int32))
+    order = spark.sparkContext.broadcast(np.unique(
+        _gathered(counts, 1 << SKETCH_BITS), return_inverse=True)[1].astype(np.int32))
 
     named = texts.where(F.col("doc_id").isNotNull())
     index = materialize(named.mapInPandas(
         _prefixes(words, percent, order), "class binary, n long, place int, shingle long"), "index")
+    order.destroy()  # what it helped to make is stored
     # A list of two entries holds one pair: sizes and places tell whether it may link at all.
     lists = index.groupBy("shingle").agg(
         F.count("*").alias("k"), F.min("n").alias("n1"), F.max("n").alias("n2"),
@@ -302,9 +315,10 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     alive = (F.col("k") > 2) | (
         (F.col("k") == 2) & (F.col("rest") >= needed(F.col("n1"), F.col("n2"), percent)))
     often = materialize(lists.where(alive).select("shingle"), "often")
-    met = index.withColumn("h", F.xxhash64("shingle")).mapInPandas(
-        _met(_filter_of(often, "shingle")), index.schema)
+    bits = _filter_of(often, "shingle")
+    met = index.withColumn("h", F.xxhash64("shingle")).mapInPandas(_met(bits), index.schema)
     found = materialize(met.join(often, "shingle").distinct(), "entries")
+    bits.destroy()
     release(index, often)
     pivots = found.groupBy("shingle").agg(F.min(F.struct("place", "n", "class")).alias("pivot"))
     entries = materialize(found.join(pivots, "shingle"), "lists")
@@ -327,18 +341,21 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
         sets = materialize(
             named.select("text", F.xxhash64("doc_id").alias("h"))
             .mapInPandas(_sets(words, bits), schema), f"{label}-sets")
+        bits.destroy()
         bounds = materialize(_bounded(pairs, sets), f"{label}-bounds")
         spare = F.col("total") - F.col("most")
         open_ = F.col("most") * 100 >= spare * percent
         rest = bounds.where(open_).select("a", "b")
         ends = rest.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        bits = _filter_of(ends, "class")
         asked = sets.select("class", "keys", F.xxhash64("class").alias("h")).mapInPandas(
-            _met(_filter_of(ends, "class")), "class binary, keys array<long>")
+            _met(bits), "class binary, keys array<long>")
         settled = bounds.where(~open_).select(
             "a", "b", *_distances(F.col("most"), spare, percent, exact=False))
         exact = _compared(rest, asked).select(
             "a", "b", *_distances(F.col("common"), F.col("whole"), percent, exact=True))
         answers = materialize(exact.unionByName(settled), label)
+        bits.destroy()
         release(pairs, sets, bounds)
         return answers
 
@@ -367,21 +384,42 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     rooted = classes.join(nodes, F.col("class") == F.col("node"), "left").select(
         "class", "first_id", F.coalesce("root", "class").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named_class = rooted.join(smallest, "root").select("class", "component_id")
+    named_class = rooted.join(smallest, "root").select("class", "component_id", "root")
     keyed = rows.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
     joined = skew_join(keyed, named_class, "class", spread_by=["doc_id"])
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(
-        F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        *(["digest", "root"] if digests else []))
+
+
+def _digest(column: str) -> Column:
+    return F.unhex(F.md5(column))
 
 
 def keep_first(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The row of the smallest doc_id of each component, with all columns of ``docs``.
+    """One row of each component, that of the smallest doc_id, with all columns of ``docs``.
 
-    Rows with a null id stay, since nothing links with them; equal rows of an id and text
-    leave one.
+    Runs jobs while it is built. Defined cases: rows with a null id stay, since nothing links with
+    them; so do null texts and texts without words, but equal rows of an id and text leave one (of
+    rows that differ elsewhere the one whose hash of all columns is smallest); where rows of one
+    component share the smallest id, the text with the smallest digest stays; an empty table gives
+    none; other columns may have any name.
     """
-    found = jaccard_components(docs.select("doc_id", "text"), words=words, percent=percent)
-    firsts = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi")
-    once = named.withColumn("_text", F.md5("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = jaccard_components(docs.select("doc_id", "text"), words=words, percent=percent,
+                               digests=True)
+    first = found.where(F.col("component_id") == F.col("doc_id"))
+    # A component has one row; texts without words have no root and stay by themselves.
+    alone = first.where(F.col("root").isNull()).select("doc_id", "digest")
+    chosen = first.where(F.col("root").isNotNull()).groupBy("root").agg(
+        F.min(F.struct("doc_id", "digest")).alias("_first")).select("_first.*")
+    kept = alone.unionByName(chosen).select(
+        "doc_id", F.coalesce("digest", F.lit(b"")).alias("digest")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]  # maps have none
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                         F.coalesce(_digest("text"), F.lit(b"")).alias("digest"),
+                         F.xxhash64(*hashed).alias("_h"), F.struct(*columns).alias("_row"))
+    named = packed.join(kept, ["doc_id", "digest"], "left_semi")
+    once = named.groupBy("doc_id", "digest").agg(F.min_by("_row", "_h").alias("_row"))
+    return once.unionByName(packed.where(F.col("doc_id").isNull()).select(
+        "doc_id", "digest", "_row")).select("_row.*")
