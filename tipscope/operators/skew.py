@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tipscope.session import materialize
+
 # A key is hot when it holds more than this share of the rows, so at most 1 / share keys are.
 # A hot key is dealt over as many buckets as it holds shares, so a bucket holds about one share.
 HOT_SHARE = 1.0 / 1000.0
@@ -52,3 +54,23 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, *, spread_by: list[str
     if how == "inner":
         return joined
     return joined.unionByName(big.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+#: A lookup table is broadcast when it is stored in no more rows and bytes than these.
+LOOKUP_ROWS, LOOKUP_BYTES = 100_000, 8 << 20
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, *, spread_by: list[str | Column],
+                how: str = "left", counts: DataFrame | None = None,
+                rows: int = LOOKUP_ROWS) -> DataFrame:
+    """The same join for a ``small`` side that is usually a lookup table.
+
+    ``small`` is stored, so that its plan runs once, and measured. Within the bounds it is broadcast:
+    ``big`` is then read once and not shuffled, and no key is hot. Beyond them ``skew_join`` takes
+    over.
+    """
+    stored = materialize(small.where(F.col(key).isNotNull()), "lookup")
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= LOOKUP_BYTES and stored.count() <= rows:
+        return big.join(F.broadcast(stored), key, how)
+    return skew_join(big, stored, key, spread_by=spread_by, how=how, counts=counts)

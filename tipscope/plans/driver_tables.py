@@ -64,6 +64,18 @@ SELECT 'telegram' AS source, CAST(l_suppkey AS {text}) AS channel_id,
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
 """
 
+# Crowded mentions: customers as channels naming suppliers within 200 days; a third of them within
+# 40 hours of a time of the supplier's own, so that many channels meet.
+CROWDED_MENTIONS = """
+SELECT 'telegram' AS source, concat('ch', CAST(o_custkey % 40 AS {text})) AS channel_id,
+       CAST(o_orderkey AS {text}) AS message_id,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE {symbol} END AS ticker,
+       CAST(DATE '1998-01-01' AS TIMESTAMP) + {hours} AS posted_at
+FROM {orders}
+"""
+_CROWDED_HOUR = ("CAST(CASE WHEN o_orderkey % 3 = 0 THEN ({supplier} * 97) % 3000 + o_orderkey % 40 "
+                 "ELSE (o_orderkey * 37) % 4800 END AS INT)")
+
 # Channel messages: eight kinds of text, from full tips to bare and misspelt company names.
 CHANNEL_MESSAGES = """
 SELECT 'telegram' AS source, concat('ch', CAST(o_custkey % 40 AS {text})) AS channel_id,
@@ -120,6 +132,9 @@ def shape(name: str, dialect: str, tables: dict[str, str]) -> str:
         "SYMBOLS": (SYMBOLS, {"symbol": symbol("s_suppkey")}),
         "CHANNEL_MENTIONS": (CHANNEL_MENTIONS, {
             "hours": d["minutes"].format(h="CAST(l_orderkey % 24 AS INT)")}),
+        "CROWDED_MENTIONS": (CROWDED_MENTIONS, {
+            "symbol": symbol(SUPPLIER_OF), "hours": d["minutes"].format(
+                h=_CROWDED_HOUR.format(supplier=SUPPLIER_OF))}),
         "CHANNEL_MESSAGES": (CHANNEL_MESSAGES, {
             "symbol": symbol(SUPPLIER_OF), "symbol2": symbol(f"({SUPPLIER_OF} + 1)"),
             "supplier_of": SUPPLIER_OF,

@@ -154,6 +154,28 @@ def bursts(table: str, as_of: str, window: int = 48, baseline: int = 90, step: i
               FROM cur JOIN past USING (ticker))"""
 
 
+def bursts_at_each(table: str) -> str:
+    """Burst statistics at each mention's own time, from all pairs of a time and a mention."""
+    return f"""known AS (SELECT ticker, channel_id, posted_at AS p FROM {table}
+                         WHERE ticker IS NOT NULL),
+    asked AS (SELECT DISTINCT ticker, p AS t FROM known),
+    hits AS (SELECT a.ticker, a.t, k, count(DISTINCT channel_id) AS c
+             FROM asked a JOIN known USING (ticker), range(-1, 88) r(k)
+             WHERE p <= CASE WHEN k < 0 THEN t ELSE t - INTERVAL 90 DAY + k * INTERVAL 24 HOUR END
+               AND p > CASE WHEN k < 0 THEN t ELSE t - INTERVAL 90 DAY + k * INTERVAL 24 HOUR END
+                       - INTERVAL 48 HOUR
+             GROUP BY a.ticker, a.t, k),
+    sums AS (SELECT ticker, t, sum(CASE WHEN k < 0 THEN c ELSE 0 END) AS n_channels,
+               sum(CASE WHEN k >= 0 THEN c ELSE 0 END) / 88.0 AS m,
+               sum(CASE WHEN k >= 0 THEN c * c ELSE 0 END) / 88.0 AS q
+             FROM hits GROUP BY ticker, t),
+    spread AS (SELECT *, sqrt(greatest(q - m * m, 0.0)) AS s FROM sums),
+    stats AS (SELECT ticker, t AS as_of, CAST(n_channels AS BIGINT) AS n_channels,
+                m AS baseline_mean, CASE WHEN s > 1e-6 THEN s ELSE 0.0 END AS baseline_std,
+                CASE WHEN s > 1e-6 THEN (n_channels - m) / s
+                     WHEN n_channels > m THEN 'inf'::DOUBLE ELSE 0.0 END AS z FROM spread)"""
+
+
 _STATS = ("ticker, n_channels, " + _r("baseline_mean", "baseline_std", "z")
           + ", n_channels >= 3 AND z >= 2 AS is_burst")
 
@@ -421,6 +443,22 @@ WHERE trade_date IN (SELECT DISTINCT trade_date FROM features ORDER BY trade_dat
         "forward_label": f"WITH {PRICES}, {LABELS} SELECT * FROM labels",
         "labeled_dataset": f"WITH {DATASET} SELECT {DATASET_LIST} FROM dataset",
         "joined_dataset": f"WITH {DATASET} SELECT {DATASET_LIST} FROM dataset",
+        "bursts_as_posted": f"WITH crowded AS ({shape('CROWDED_MENTIONS', 'duckdb', DUCKDB_TABLES)}), "
+                            f"{bursts_at_each('crowded')} SELECT as_of, {_STATS} FROM stats",
+        "crowded_watchlist": f"""WITH crowded AS ({shape('CROWDED_MENTIONS', 'duckdb', DUCKDB_TABLES)}),
+  {bursts('crowded', "TIMESTAMP '1998-03-01'")}
+  SELECT * FROM (SELECT {_STATS} FROM stats) WHERE is_burst
+  ORDER BY z DESC, n_channels DESC, ticker LIMIT 1000""",
+        "features_as_posted": f"""WITH {FEATURES},
+  crowded AS ({shape('CROWDED_MENTIONS', 'duckdb', DUCKDB_TABLES)}),
+  asked AS (SELECT DISTINCT ticker, CAST(posted_at AS DATE) AS day FROM crowded
+            WHERE ticker IS NOT NULL),
+  ranked AS (SELECT a.*, f.*, row_number() OVER (
+               PARTITION BY ticker, day ORDER BY trade_date DESC, exchange, series) AS rn
+             FROM asked a JOIN features f ON f.symbol = a.ticker AND f.trade_date < a.day)
+SELECT ticker, day, exchange, symbol, series, trade_date, {_r('runup_20d')},
+  upper_circuit_count_10d, {_r('volume_zscore_60d')}, liquidity_bucket, is_sme,
+  {_r('days_since_listing')} FROM ranked WHERE rn = 1""",
         "burst_stats": f"WITH {MENTIONS}, {bursts('mentions', AS_OF)} "
                        f"SELECT {_STATS} FROM stats",
         "burst_stats_latest":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tipscope.functions import text as X
 from tipscope.functions.similarity import subsequence_ratio
+from tipscope.operators import as_of as AO
 from tipscope.operators import bursts as B
 from tipscope.operators import dataset as D
 from tipscope.operators import features as FE
@@ -327,6 +328,31 @@ def burst_history(spark, sf):
     return rounded(B.burst_history(mentions(spark, sf)))
 
 
+def crowded(spark: SparkSession, sf: str) -> DataFrame:
+    return engine_table(spark, sf, "CROWDED_MENTIONS")
+
+
+@query
+def bursts_as_posted(spark, sf):
+    """Burst statistics of each ticker at the time of each of its mentions."""
+    named = crowded(spark, sf)
+    return rounded(AO.bursts_as_of(named.withColumnRenamed("posted_at", "as_of"), named))
+
+
+@query
+def crowded_watchlist(spark, sf):
+    """The most unusual bursts where many channels meet, as of the newest mention."""
+    return rounded(B.watchlist(crowded(spark, sf), datetime(1998, 3, 1), limit=1000))
+
+
+@query
+def features_as_posted(spark, sf):
+    """The newest session before each mention's day, with its features."""
+    asked = crowded(spark, sf).select("ticker", F.to_date("posted_at").alias("day"))
+    return rounded(AO.features_as_of(asked, features(spark, sf)).select(
+        "ticker", "day", *SESSION_KEY, *S.FACTOR_COLUMNS))
+
+
 @query
 def watchlist(spark, sf):
     return rounded(B.watchlist(mentions(spark, sf), WATCH_AS_OF, limit=25))
