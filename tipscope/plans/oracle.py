@@ -443,6 +443,22 @@ WHERE trade_date IN (SELECT DISTINCT trade_date FROM features ORDER BY trade_dat
         "forward_label": f"WITH {PRICES}, {LABELS} SELECT * FROM labels",
         "labeled_dataset": f"WITH {DATASET} SELECT {DATASET_LIST} FROM dataset",
         "joined_dataset": f"WITH {DATASET} SELECT {DATASET_LIST} FROM dataset",
+        "late_channel_windows": f"""WITH {MENTIONS},
+  known AS (SELECT ticker, channel_id, posted_at AS p,
+              CASE WHEN CAST(channel_id AS INT) % 7 = 0 THEN 2
+                   WHEN CAST(posted_at AS DATE) < DATE '1995-01-01' THEN 0
+                   WHEN CAST(posted_at AS DATE) < DATE '1997-01-01' THEN 1 ELSE 2 END AS part
+            FROM mentions WHERE ticker IS NOT NULL),
+  placed AS (SELECT ticker, channel_id, part, CAST(day AS TIMESTAMP) + to_days(k) AS e
+             FROM (SELECT *, CASE WHEN p > date_trunc('day', p) THEN CAST(p AS DATE) + 1
+                                  ELSE CAST(p AS DATE) END AS day FROM known), (VALUES (0), (1)) v(k)),
+  marks AS (SELECT m AS part, (SELECT max(p) FROM known WHERE part < m) - INTERVAL 2 HOUR AS mark
+            FROM (VALUES (0), (1), (2), (3)) t(m)),
+  judged AS (SELECT pl.*, coalesce(e <= mark, false) AS late FROM placed pl JOIN marks USING (part)),
+  final AS (SELECT mark AS f FROM marks WHERE part = 3)
+SELECT CASE WHEN e <= f THEN 'closed' ELSE 'open' END AS kind, ticker, e AS window_end,
+  count(DISTINCT channel_id) AS n FROM judged, final WHERE NOT late GROUP BY ALL
+UNION ALL SELECT 'late', ticker, e, count(*) FROM judged WHERE late GROUP BY ALL""",
         "bursts_as_posted": f"WITH crowded AS ({shape('CROWDED_MENTIONS', 'duckdb', DUCKDB_TABLES)}), "
                             f"{bursts_at_each('crowded')} SELECT as_of, {_STATS} FROM stats",
         "crowded_watchlist": f"""WITH crowded AS ({shape('CROWDED_MENTIONS', 'duckdb', DUCKDB_TABLES)}),

@@ -31,6 +31,7 @@ from tipscope.sources import exchange_files as XF
 from tipscope.sources import messages as MS
 from tipscope.sources.tables import merge_rows
 from tipscope.streaming import streams as ST
+from tipscope.streaming import windows as SW
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -376,6 +377,30 @@ def channel_windows_stream(spark, sf):
     return closed.unionByName(ST.open_channels(spark.read.schema(stream.schema).parquet(source)))
 
 
+@query
+def late_channel_windows(spark, sf):
+    """The same windows from a stream of three micro-batches in which every seventh channel comes
+    long late: windows written, windows still open, and rows for windows already written."""
+    tagged = mentions(spark, sf).select("ticker", "channel_id", "posted_at")
+    files, root, state = (scratch_path(spark, n) for n in ("late", "late-windows", "stream-state"))
+    day = F.to_date("posted_at")
+    part = F.when(F.col("channel_id").cast("int") % 7 == 0, 2).when(day < "1995-01-01", 0).when(
+        day < "1997-01-01", 1).otherwise(2)
+    for k in range(3):
+        tagged.where(part == k).coalesce(1).write.mode("append").parquet(files)
+        stream = spark.readStream.schema("ticker string, channel_id string, posted_at timestamp"
+                                         ).parquet(files)
+        SW.run_channel_windows(stream, root, state).awaitTermination()
+    counted = F.count("*").alias("n")
+    return (
+        SW.closed_windows(spark, root).select(
+            F.lit("closed").alias("kind"), "ticker", "window_end", F.col("n_channels").alias("n"))
+        .unionByName(SW.open_windows(spark, root).groupBy(
+            F.lit("open").alias("kind"), "ticker", "window_end").agg(counted))
+        .unionByName(SW.late_rows(spark, root).groupBy(
+            F.lit("late").alias("kind"), "ticker", "window_end").agg(counted)))
+
+
 # --- messages ------------------------------------------------------------------------------------
 
 def _tip_table(df: DataFrame) -> DataFrame:
