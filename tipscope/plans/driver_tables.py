@@ -104,6 +104,20 @@ FROM (
 ) AS shaped
 """
 
+# The symbol that each channel message means, by kind; none where it names two known ones.
+MEANT_TICKERS = """
+SELECT CAST(o_orderkey AS {text}) AS message_id, CAST(o_orderkey % 8 AS INT) AS kind,
+       CASE CAST(o_orderkey % 8 AS INT)
+         WHEN 5 THEN CASE CAST(o_custkey % 7 AS INT) WHEN 0 THEN 'SBIN' WHEN 1 THEN 'INFY'
+                     WHEN 2 THEN 'LT' WHEN 3 THEN 'HINDUNILVR' WHEN 4 THEN 'DMART'
+                     WHEN 5 THEN 'LICI' END
+         WHEN 6 THEN CASE WHEN {supplier_of} >= (SELECT max(s_suppkey) FROM {supplier})
+                     THEN {symbol} END
+         ELSE {symbol}
+       END AS expected
+FROM {orders} JOIN {part} p ON p_partkey = {supplier_of}
+"""
+
 # Long free texts as messages.
 DOCUMENT_MESSAGES = """
 SELECT 'manual' AS source, source AS channel_id, CAST(doc_id AS {text}) AS message_id, text
@@ -139,6 +153,8 @@ def shape(name: str, dialect: str, tables: dict[str, str]) -> str:
             "symbol": symbol(SUPPLIER_OF), "symbol2": symbol(f"({SUPPLIER_OF} + 1)"),
             "supplier_of": SUPPLIER_OF,
             "hours": d["minutes"].format(h="CAST(o_orderkey % 24 AS INT)")}),
+        "MEANT_TICKERS": (MEANT_TICKERS, {"symbol": symbol(SUPPLIER_OF),
+                                          "supplier_of": SUPPLIER_OF}),
         "DOCUMENT_MESSAGES": (DOCUMENT_MESSAGES, {}),
         "ORDER_SCORES": (ORDER_SCORES, {}),
     }

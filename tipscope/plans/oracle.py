@@ -526,6 +526,13 @@ SELECT {KEY}, ticker, {_r('ticker_score')}, ticker_method,
   (SELECT max(name) FROM symbols s WHERE s.symbol = ticker) AS ticker_name FROM resolved""",
         "tag_mentions": f"WITH RECURSIVE {RESOLVED} SELECT {KEY}, ticker, posted_at "
                         "FROM resolved",
+        "resolver_hits_by_kind": f"""WITH RECURSIVE {RESOLVED},
+  meant AS ({shape('MEANT_TICKERS', 'duckdb', DUCKDB_TABLES)})
+SELECT kind, count(*) AS n_cases,
+  count(*) FILTER (ticker IS NOT DISTINCT FROM expected) AS "right",
+  count(*) FILTER (ticker IS NOT NULL AND ticker IS DISTINCT FROM expected) AS wrong,
+  count(*) FILTER (ticker IS NULL AND expected IS NOT NULL) AS missed
+FROM resolved JOIN meant USING (message_id) GROUP BY kind""",
         "resolver_accuracy": f"""WITH RECURSIVE {RESOLVED}, cases AS (
   SELECT ticker, (SELECT max(symbol) FROM symbols s WHERE s.symbol = CASE
     WHEN CAST(message_id AS BIGINT) % 8 IN (0, 1, 7)
@@ -590,6 +597,10 @@ SELECT CAST(bin AS INT) AS bin, round(bin * 0.1, 6)::DOUBLE AS bin_lo,
                               "FROM scores",
     }
     sql["daily_files"] = sql["typed_daily_rows"]
+    sql["snapshot_upsert"] = sql["upsert_latest"].replace(
+        "SELECT * FROM news UNION ALL\nSELECT * FROM stored s",
+        "SELECT *, 1 AS version FROM stored UNION ALL SELECT *, 2 FROM news UNION ALL\n"
+        "SELECT *, 2 FROM stored s")
     sql["score_replies"] = _replies()
     sql["name_similarity"] = _name_similarity()
     return sql

@@ -29,6 +29,7 @@ from tipscope.session import materialize, scratch_path
 from tipscope.sources import calendar as C
 from tipscope.sources import exchange_files as XF
 from tipscope.sources import messages as MS
+from tipscope.sources import snapshots as SN
 from tipscope.sources.tables import merge_rows
 from tipscope.streaming import streams as ST
 from tipscope.streaming import windows as SW
@@ -235,6 +236,26 @@ def upsert_latest(spark, sf):
                       ["o_custkey", "day"], order_by="o_totalprice")
 
 
+@query
+def snapshot_upsert(spark, sf):
+    """The same loads through a stored table that changes in one step, by months; the second one
+    twice, as after a failure. Read by version."""
+    orders = driver_table(spark, sf, "orders")
+    base = orders.select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_totalprice",
+                         "o_orderkey")
+    root, keys = scratch_path(spark, "snapshots"), ["o_custkey", "day"]
+    first = SN.load_snapshot(base.where("o_orderkey % 3 <> 0"), root, keys, month_of="day",
+                             order_by="o_orderkey")
+    news = base.where("o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+    numbers = [SN.load_snapshot(news, root, keys, month_of="day", order_by="o_totalprice",
+                                note=("load", "2")) for _ in range(2)]
+    out = SN.read_snapshot(spark, root, first).withColumn("version", F.lit(1))
+    for number in sorted(set(numbers)):
+        out = out.unionByName(SN.read_snapshot(spark, root, number).withColumn(
+            "version", F.lit(number)))
+    return out
+
+
 @query
 def serving_store(spark, sf):
     stored = materialize(features(spark, sf), "features")
@@ -480,6 +501,18 @@ def resolver_accuracy(spark, sf):
     return rounded(RS.accuracy(resolved.join(truth, MESSAGE_KEY)))
 
 
+@query
+def resolver_hits_by_kind(spark, sf):
+    """For each kind of message: resolved to what it means, to something else, or not at all."""
+    meant = engine_table(spark, sf, "MEANT_TICKERS")
+    resolved = RS.tag_mentions(messages(spark, sf), symbols(spark, sf))
+    right = F.col("ticker").eqNullSafe(F.col("expected"))
+    wrong = F.col("ticker").isNotNull() & ~right
+    return resolved.join(meant, "message_id").groupBy("kind").agg(
+        F.count("*").alias("n_cases"), F.count_if(right).alias("right"),
+        F.count_if(wrong).alias("wrong"), F.count_if(~right & ~wrong).alias("missed"))
+
+
 @query
 def name_similarity(spark, sf):
     """Token-sorted subsequence ratio of part names with their neighbour in key order."""
