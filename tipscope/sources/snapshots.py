@@ -75,6 +75,12 @@ def read_file(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; nothing happens when there is none."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
 # Versions ---------------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -113,7 +119,9 @@ def read_version(spark: SparkSession, root: str, number: int | None = None) -> V
     return Version(number, **json.loads(text))
 
 
-def _rows(spark: SparkSession, root: str, version: Version, months: list[str]) -> DataFrame:
+def version_rows(spark: SparkSession, root: str, version: Version,
+                 months: list[str]) -> DataFrame:
+    """The rows of some months of a version; other months are not read."""
     schema = StructType.fromJson(json.loads(version.schema))
     folders = [f"{root.rstrip('/')}/{version.months[m]}" for m in months]
     if not folders:
@@ -124,7 +132,7 @@ def _rows(spark: SparkSession, root: str, version: Version, months: list[str]) -
 def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame | None:
     """All rows of a version, by default of the newest; None for a table never loaded."""
     version = read_version(spark, root, number)
-    return version and _rows(spark, root, version, sorted(version.months))
+    return version and version_rows(spark, root, version, sorted(version.months))
 
 
 def commit(spark: SparkSession, root: str, version: Version) -> None:
@@ -170,7 +178,7 @@ def load_snapshot(incoming: DataFrame, root: str, keys: list[str], *, month_of:
             known = {} if before is None or replace else before.months
             again = [m for m in touched if m in known]
             if again:
-                stored = _rows(spark, root, before, again).select(*columns).withColumn(
+                stored = version_rows(spark, root, before, again).select(*columns).withColumn(
                     "_month", month)
                 merged = merge_rows(stored, new, keys, order_by)
             else:
