@@ -597,6 +597,7 @@ SELECT CAST(bin AS INT) AS bin, round(bin * 0.1, 6)::DOUBLE AS bin_lo,
                               "FROM scores",
     }
     sql["daily_files"] = sql["typed_daily_rows"]
+    sql["refreshed_features"] = sql["market_features"]
     sql["snapshot_upsert"] = sql["upsert_latest"].replace(
         "SELECT * FROM news UNION ALL\nSELECT * FROM stored s",
         "SELECT *, 1 AS version FROM stored UNION ALL SELECT *, 2 FROM news UNION ALL\n"

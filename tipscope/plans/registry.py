@@ -21,6 +21,7 @@ from tipscope.operators import redflags as R
 from tipscope.operators import resolve as RS
 from tipscope.operators import scoring as S
 from tipscope.operators.labels import LABEL_COLUMN, forward_labels
+from tipscope.plans import feature_store as FS
 from tipscope.plans import scoring as P
 from tipscope.plans import susceptibility as ML
 from tipscope.plans.driver_tables import driver_table, engine_table
@@ -280,6 +281,27 @@ def market_features(spark, sf):
     return rounded(features(spark, sf))
 
 
+@query
+def refreshed_features(spark, sf):
+    """Stored features after three loads of prices: histories with days missing and wrong closes,
+    then the missing and the corrected days with changed listing dates, then the newest months."""
+    table, master = materialize(prices(spark, sf), "prices"), symbols(spark, sf)
+    stored, built = scratch_path(spark, "price-store"), scratch_path(spark, "feature-store")
+    newest, tenth = F.col("trade_date") >= "1998-06-01", F.dayofyear("trade_date") % 120
+    loads = [
+        table.where(~newest & (tenth != 7)).withColumn(
+            "close", F.when(tenth == 11, F.col("close") + 9.0).otherwise(F.col("close"))),
+        table.where(~newest & tenth.isin(7, 11)), table.where(newest),
+    ]
+    listings = [master.withColumn("date_of_listing", F.when(
+        F.col("symbol").endswith("7"), F.lit(None)).otherwise(F.col("date_of_listing"))),
+        master, master]
+    for rows, listed in zip(loads, listings):
+        SN.load_snapshot(rows, stored, SESSION_KEY, month_of="trade_date")
+        FS.refresh_features(spark, stored, built, listed)
+    return rounded(SN.read_snapshot(spark, built))
+
+
 @query
 def runup(spark, sf):
     return rounded(features(spark, sf, ["runup_5d", "runup_10d", "runup_20d"]))
