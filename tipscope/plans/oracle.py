@@ -372,6 +372,27 @@ SELECT 'NSE' AS exchange, concat('S', l_suppkey) AS symbol,
   CAST(sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity END) AS BIGINT) AS sum_deliv,
   count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS n_deliv_pct, 100.0::DOUBLE AS avg_price
 FROM lineitem WHERE l_linenumber NOT IN (6, 7) GROUP BY ALL""",
+        "audited_files": """
+WITH lines AS (
+  SELECT l_orderkey, l_linenumber, CAST(date_trunc('month', l_shipdate) AS DATE) AS day,
+    (year(l_shipdate) * 12 + month(l_shipdate) - 1) % 5 AS kind,
+    row(CAST(l_extendedprice AS DECIMAL(18, 2)), CAST(l_quantity AS BIGINT)) AS facts FROM lineitem
+), rows AS (
+  SELECT day, kind, max(facts) AS facts FROM lines GROUP BY day, kind, l_orderkey, l_linenumber
+), months AS (
+  SELECT day, any_value(kind) AS kind, count(*) AS n_rows, CAST(sum(facts[2]) AS BIGINT) AS sum_qty,
+    CAST(sum(facts[1] + CASE WHEN kind = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS sum_close
+  FROM rows GROUP BY day
+), files AS (
+  SELECT day, 'valid' AS status, 'own' AS content FROM months
+  UNION ALL SELECT CAST(day + INTERVAL 1 MONTH AS DATE), 'nodata', 'echo' FROM months WHERE kind = 3
+  UNION ALL SELECT day, 'skipped', 'own' FROM months WHERE kind = 0
+  UNION ALL SELECT day, 'valid', 'revised' FROM months WHERE kind = 1
+) SELECT day, count(*) AS n_files, count(*) FILTER (status = 'valid') AS n_valid,
+  count(*) FILTER (status = 'nodata') AS n_nodata,
+  count(*) FILTER (status = 'skipped') AS n_skipped, count(DISTINCT content) AS n_contents,
+  any_value(n_rows) AS n_rows, any_value(sum_qty) AS sum_qty, any_value(sum_close) AS sum_close
+FROM files LEFT JOIN months USING (day) GROUP BY day""",
         "typed_symbol_master": """
 SELECT 'NSE' AS exchange, concat('SUP', p_partkey) AS symbol,
   CASE WHEN p_partkey % 10 = 0 THEN 'ST' ELSE 'EQ' END AS series,

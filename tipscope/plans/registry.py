@@ -32,6 +32,7 @@ from tipscope.sources import exchange_files as XF
 from tipscope.sources import messages as MS
 from tipscope.sources import snapshots as SN
 from tipscope.sources.tables import merge_rows
+from tipscope.streaming import audit as AU
 from tipscope.streaming import streams as ST
 from tipscope.streaming import windows as SW
 
@@ -134,6 +135,52 @@ def daily_files(spark, sf):
     return _daily_totals(XF.read_daily_prices(spark, folder))
 
 
+def _monthly_files(spark, sf):
+    """Price rows with the first day of their month as date, and the number of that month."""
+    li = driver_table(spark, sf, "lineitem")
+    text = {
+        "SYMBOL": F.concat_ws("-", "l_orderkey", "l_linenumber"), "SERIES": F.lit("EQ"),
+        "CLOSE_PRICE": F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
+        "TTL_TRD_QNTY": F.col("l_quantity").cast("int").cast("string"),
+    }
+    first = F.trunc("l_shipdate", "month")
+    return li.select(
+        *[text.get(name, F.lit("-")).alias(name) for name in XF.DAILY_COLUMNS],
+        first.alias("_day"), "l_orderkey", "l_linenumber",
+        (F.year(first) * 12 + F.month(first) - 1).alias("_number"))
+
+
+@query
+def audited_files(spark, sf):
+    """A file for each month through the audited stream, in three deliveries: every fifth month
+    first as a copy of the month before, then right, with others repeated; then revised ones."""
+    rows, folder = _monthly_files(spark, sf), scratch_path(spark, "landed")
+    prices_root, ledger, state = (scratch_path(spark, n) for n in ("prices", "ledger", "state"))
+    kind = F.col("_number") % 5
+    echo = rows.where(kind == 3).withColumn("_file", F.add_months("_day", 1).cast("date"))
+    own = rows.withColumn("_file", F.col("_day"))
+    raised = (F.col("CLOSE_PRICE").cast("decimal(18,2)") + 1).cast("string")
+    deliveries = [own.where(kind != 4).unionByName(echo), own.where(kind.isin(0, 4)),
+                  own.where(kind == 1).withColumn("CLOSE_PRICE", raised)]
+    for number, delivery in enumerate(deliveries):
+        (delivery.withColumn("DATE1", F.date_format("_day", "dd-MMM-yyyy"))
+         .repartition("_file").sortWithinPartitions("_file", "l_orderkey", "l_linenumber")
+         .select(*XF.DAILY_COLUMNS, "_file")
+         .write.partitionBy("_file").csv(f"{folder}/load={number}", header=True))
+        AU.ingest_audited(
+            spark, folder, prices_root, ledger, state, files_per_batch=60,
+            named_day=lambda path: F.regexp_extract(path, "_file=([0-9-]+)", 1).cast("date"),
+        ).awaitTermination()
+    entered = SN.read_snapshot(spark, ledger).groupBy("day").agg(
+        F.count("*").alias("n_files"),
+        *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("valid", "nodata", "skipped")],
+        F.countDistinct("sha256").alias("n_contents"))
+    loaded = SN.read_snapshot(spark, prices_root).groupBy(F.col("trade_date").alias("day")).agg(
+        F.count("*").alias("n_rows"), F.sum("total_traded_qty").alias("sum_qty"),
+        F.sum(F.col("close").cast("decimal(18,2)")).cast("double").alias("sum_close"))
+    return entered.join(loaded, "day", "left")
+
+
 @query
 def typed_symbol_master(spark, sf):
     """Two untyped masters with different columns, typed and put together."""

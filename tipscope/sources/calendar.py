@@ -19,6 +19,13 @@ def default_range(end: Column | str) -> tuple[Column, Column]:
     return F.add_months(end, -24), end
 
 
+def line_date(line: Column | str) -> Column:
+    """Third field of a line of a price file, without blanks and quotes; NULL if it has fewer."""
+    fields = F.split(F.col(line) if isinstance(line, str) else line, ",")
+    return F.when(F.size(fields) >= 3, F.trim(F.regexp_replace(
+        F.try_element_at(fields, F.lit(3)), '^\\s*"|"\\s*$', "")))
+
+
 def first_data_dates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(source_file, internal_date): third field of each file's first line after the header.
 
@@ -31,13 +38,10 @@ def first_data_dates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("_line"), "value",
     ).where(F.col("_start") == 0)
     first = Window.partitionBy("source_file").orderBy("_line")
-    fields = F.split(F.col("value"), ",")
     return (
         lines.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= 2)
-        .groupBy("source_file").agg(F.max(F.when(
-            (F.col("_rank") == 2) & (F.size(fields) >= 3),
-            F.trim(F.regexp_replace(F.try_element_at(fields, F.lit(3)), '^\\s*"|"\\s*$', "")),
-        )).alias("internal_date"))
+        .groupBy("source_file").agg(
+            F.max(F.when(F.col("_rank") == 2, line_date("value"))).alias("internal_date"))
     )
 
 
