@@ -625,9 +625,126 @@ SELECT CAST(bin AS INT) AS bin, round(bin * 0.1, 6)::DOUBLE AS bin_lo,
         "SELECT *, 2 FROM stored s")
     sql["score_replies"] = _replies()
     sql["name_similarity"] = _name_similarity()
+    sql["explained_scores"] = _explained(
+        f"{FEATURES}, {LATEST}, {bursts('crowded', _CROWDED_AT)}",
+        "LEFT JOIN latest l ON l.symbol = t.ticker LEFT JOIN stats s ON s.ticker = t.ticker")
+    sql["explained_scores_as_posted"] = _explained(
+        f"""{FEATURES}, {bursts_at_each('crowded')}, days AS (
+  SELECT DISTINCT ticker, CAST(posted_at AS DATE) AS day FROM crowded
+), dated AS (
+  SELECT a.ticker AS for_ticker, day, f.*, row_number() OVER (
+    PARTITION BY a.ticker, day ORDER BY trade_date DESC, exchange, series) AS rn
+  FROM days a JOIN features f ON f.symbol = a.ticker AND f.trade_date < a.day
+)""",
+        "LEFT JOIN dated l ON l.rn = 1 AND l.symbol = t.ticker "
+        "AND l.day = CAST(t.posted_at AS DATE) "
+        "LEFT JOIN stats s ON s.ticker = t.ticker AND s.as_of = t.posted_at")
     return sql
 
 
+_CROWDED_AT = "TIMESTAMP '1998-03-01'"
+
+
+def _lines(*parts: str) -> str:
+    """Lists of lines put together, as one text."""
+    return f"array_to_string(list_concat({', '.join(parts)}), chr(10))"
+
+
+def _explained(tables: str, joins: str) -> str:
+    """Scores with all reasons and both layouts, with every text and number spelled out."""
+    reasons = """[
+    CASE WHEN guarantee_claim THEN
+      {'c': 'guarantee_language', 'i': 12.0::DOUBLE, 'k': 0,
+       'r': 'Message claims a guaranteed or ''sure-shot'' outcome'} END,
+    CASE WHEN insider_claim THEN
+      {'c': 'insider_language', 'i': 12.0::DOUBLE, 'k': 1,
+       'r': 'Message claims access to insider or operator information'} END,
+    CASE WHEN NOT disclosure_present THEN
+      {'c': 'missing_disclosure', 'i': 6.0::DOUBLE, 'k': 2,
+       'r': 'Message carries no SEBI research-analyst disclosure'} END,
+    CASE WHEN urgency = 'high' THEN
+      {'c': 'high_urgency', 'i': 6.0::DOUBLE, 'k': 3,
+       'r': 'Message uses high-pressure, act-now urgency'} END,
+    CASE WHEN target_price IS NOT NULL THEN
+      {'c': 'explicit_target', 'i': 4.0::DOUBLE, 'k': 4,
+       'r': 'Message states a specific price target'} END,
+    CASE WHEN p > 0 AND has_features THEN
+      {'c': 'market_susceptibility', 'k': 5, 'i': round_even(CAST(CAST(CAST(market AS VARCHAR)
+         AS DECIMAL(22, 16)) * 10 AS DOUBLE), 0) / 10.0::DOUBLE,
+       'r': concat('Scrip''s recent market behaviour resembles pump-prone setups',
+         CASE WHEN len(called) > 0
+              THEN concat(' (', array_to_string(list_slice(called, 1, 2), '; '), ')') ELSE '' END)}
+    END,
+    CASE WHEN pts IS NOT NULL THEN
+      {'c': 'coordination_burst', 'i': CAST(pts AS DOUBLE), 'k': 6,
+       'r': concat('Being pushed by ', n_channels,
+                   ' channels within 48h — a coordinated spike versus this scrip''s baseline')} END
+  ]"""
+    note = ("CASE WHEN ticker IS NULL THEN 'Ticker could not be resolved — score reflects message "
+            "signals only.' WHEN NOT has_features THEN 'No recent market data for this scrip — "
+            "score reflects message signals only.' END")
+    reply = _lines(
+        """[concat('*Manipulation risk: ', value, '/100*  ', CASE band WHEN 'high' THEN '🔴 HIGH'
+         WHEN 'elevated' THEN '🟠 ELEVATED' ELSE '🟢 LOW' END),
+       concat('Ticker: ', coalesce(ticker, '—'), '  ·  confidence ', percent, '%')]""",
+        "CASE WHEN len(top) > 0 THEN list_concat(['', 'Why:'], "
+        "list_transform(top, lambda x: concat('• ', x.r))) ELSE [] END",
+        "CASE WHEN note IS NULL THEN [] ELSE [concat('_(', note, ')_')] END",
+        "['', concat('_', disclaimer, '_')]")
+    report = _lines(
+        """['Manipulation-risk score',
+       concat('  Score : ', value, '/100    Band: ', upper(band), '    Confidence: ',
+              printf('%.2f', percent / 100.0::DOUBLE)),
+       concat('  Ticker: ', coalesce(ticker, '(unresolved)'), '    (model susceptibility ',
+              printf('%.2f', round_even(round(p * 10000) / 100.0::DOUBLE, 0) / 100.0::DOUBLE),
+              ' · message red-flags ', printf('%.2f', rf), ')')]""",
+        "CASE WHEN len(top) > 0 THEN list_concat(['  Top reasons:'], list_transform(top, "
+        "lambda x, i: concat('    ', i, '. ', x.r, '  (+', CAST(round_even(x.i, 0) AS INT), ')'))) "
+        "ELSE [] END",
+        "CASE WHEN note IS NULL THEN [] ELSE ['  Notes:', concat('    - ', note)] END",
+        "[concat('  ', disclaimer)]")
+    drivers = ("array_to_string(list_transform(top, lambda x: concat(x.c, '=', "
+               "printf('%.1f', x.i))), ',')")
+    return f"""WITH {MESSAGES}, {tips('messages')},
+crowded AS ({shape('CROWDED_MENTIONS', 'duckdb', DUCKDB_TABLES)}), {tables},
+placed AS (
+  SELECT t.* EXCLUDE (posted_at), c.ticker, c.posted_at FROM tips t JOIN crowded c USING ({KEY})
+), joined AS (
+  SELECT t.*, {FLAG_SCORE} AS rf, l.symbol IS NOT NULL AS has_features, s.n_channels,
+    coalesce(round_even(least(1.0, greatest(0.0, coalesce(l.runup_20d * 4.0 + 0.5, 0.0))), 4), 0.0)
+      AS p,
+    list_filter([
+      CASE WHEN l.runup_20d >= 0.5 THEN 'already up sharply over the past month' END,
+      CASE WHEN l.upper_circuit_count_10d >= 3 THEN 'repeated upper-circuit closes recently' END,
+      CASE WHEN l.volume_zscore_60d >= 3 THEN 'unusual recent volume spike' END,
+      CASE WHEN l.liquidity_bucket = 'micro' THEN 'thin, microcap-level liquidity' END,
+      CASE WHEN l.is_sme THEN 'SME-segment scrip' END,
+      CASE WHEN l.days_since_listing < 90 THEN 'listed recently' END
+    ], lambda x: x IS NOT NULL) AS called,
+    CASE WHEN s.n_channels >= 3 AND s.z >= 2 THEN least(15, CAST(round_even(
+      5 + 2 * CASE WHEN s.z = 'inf'::DOUBLE THEN 10.0 ELSE s.z END, 0) AS INT)) END AS pts
+  FROM placed t {joins}
+), valued AS (
+  SELECT *, 0.6::DOUBLE * p * 100.0::DOUBLE AS market, CAST(greatest(0, least(100, round_even(
+      0.6::DOUBLE * p * 100.0::DOUBLE + 0.4::DOUBLE * rf * 100.0::DOUBLE + coalesce(pts, 0), 0)))
+      AS INT) AS value,
+    CASE WHEN ticker IS NULL THEN 50 WHEN NOT has_features THEN 60 ELSE 90 END AS percent,
+    {note} AS note,
+    'Manipulation-risk assessment of a message, not investment advice. Not a view on the security.'
+      AS disclaimer
+  FROM joined
+), explained AS (
+  SELECT *, CASE WHEN value >= 60 THEN 'high' WHEN value >= 25 THEN 'elevated' ELSE 'low' END
+      AS band,
+    list_transform(list_slice(list_sort(list_transform(list_filter({reasons},
+      lambda x: x IS NOT NULL), lambda x: {{'o': -x.i, 'k': x.k, 'x': x}})), 1, 3),
+      lambda y: y.x) AS top
+  FROM valued
+) SELECT {KEY}, value, band, percent / 100.0::DOUBLE AS confidence, ticker,
+  p AS model_susceptibility, rf AS message_red_flag_score, {drivers} AS drivers,
+  {reply} AS reply, {report} AS report FROM explained"""
+
+
 def _replies() -> str:
     reasons = ", ".join(
         f"CASE WHEN {_FIRES[f.code]} THEN {{{{'r': {_q(f.reason)}, 'i': '{w:.0f}'}}}} END"

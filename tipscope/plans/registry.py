@@ -628,6 +628,47 @@ def score_replies(spark, sf):
                          S.text_report().alias("report"))
 
 
+def _crowded_tips(spark, sf):
+    """Messages with the ticker and time of the crowded mention that has their key."""
+    parsed = P.parse_tips(messages(spark, sf)).drop("raw_text", "ticker", "posted_at")
+    return materialize(parsed.join(
+        crowded(spark, sf).select(*MESSAGE_KEY, "ticker", "posted_at"), MESSAGE_KEY), "tips")
+
+
+def _wide_probability(table: DataFrame) -> DataFrame:
+    """A stand-in probability that reaches from 0 to 1."""
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(
+        F.col("runup_20d") * 4.0 + 0.5, F.lit(0.0))))
+    return table.withColumn("susceptibility", F.bround(p, 4))
+
+
+def _explained(scored: DataFrame) -> DataFrame:
+    drivers = F.transform("contributions", lambda c: F.concat(
+        c["code"], F.lit("="), F.format_string("%.1f", c["impact"])))
+    return rounded(scored.select(
+        *MESSAGE_KEY, "value", "band", "confidence", "ticker", "model_susceptibility",
+        "message_red_flag_score", F.array_join(drivers, ",").alias("drivers"),
+        S.chat_reply().alias("reply"), S.text_report().alias("report")))
+
+
+@query
+def explained_scores(spark, sf):
+    """Full scores with both layouts where channels meet: bursts as of one time, market factors of
+    the newest session, all bands."""
+    tips = _crowded_tips(spark, sf)
+    market = _wide_probability(FE.newest_features(prices(spark, sf), symbols(spark, sf)))
+    return _explained(P.score_tips(tips, market, B.burst_stats(crowded(spark, sf),
+                                                               datetime(1998, 3, 1))))
+
+
+@query
+def explained_scores_as_posted(spark, sf):
+    """The same by what was known when each message was posted."""
+    market = _wide_probability(features(spark, sf))
+    return _explained(P.score_tips_as_posted(_crowded_tips(spark, sf), market,
+                                             crowded(spark, sf)))
+
+
 @query
 def model_risk_scores(spark, sf):
     """Scores with a trained model end to end."""
