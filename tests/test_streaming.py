@@ -124,3 +124,21 @@ def test_each_window_end_of_a_backlog_is_ranked(spark):
                                      "ticker string, baseline_mean double, baseline_std double")
     got = S.rank_bursts(windows, baseline, limit=1).collect()
     assert [r.ticker for r in got] == ["A", "A", "A"] and len({r.window_end for r in got}) == 3
+
+
+def test_tagging_writes_each_message_once(spark, tmp_path):
+    box, out, state = tmp_path / "box", scratch_path(spark, "tags"), scratch_path(spark, "state")
+    master = spark.createDataFrame([("SUZLON", "Suzlon Energy")], "symbol string, name string")
+
+    def run():
+        finish(S.run_tagging(S.stream_messages(spark, str(box)), master, out, state))
+        return sorted((r.message_id, r.ticker) for r in spark.read.parquet(out).collect())
+
+    post(box, "1.json", message(1, "buy SUZLON", START), message(1, "buy SUZLON", START),
+         message(2, "SBI", START + timedelta(hours=3)), message(3, "", START))
+    want = [("1", "SUZLON"), ("2", "SBIN")]
+    assert run() == want
+    assert run() == want  # nothing new
+    post(box, "2.json", message(2, "SBI", START + timedelta(hours=3)),
+         message(4, "chatter", START + timedelta(hours=4)))
+    assert run() == [*want, ("4", None)]

@@ -21,6 +21,7 @@ from tipscope.operators.scoring import (
 from tipscope.plans.driver_tables import DUCKDB_TABLES, shape
 
 AS_OF = "TIMESTAMP '1998-06-30 12:00:00'"
+_CROWDED_AT = "TIMESTAMP '1998-03-01'"
 
 
 def _q(text: str) -> str:
@@ -393,6 +394,29 @@ WITH lines AS (
   count(*) FILTER (status = 'skipped') AS n_skipped, count(DISTINCT content) AS n_contents,
   any_value(n_rows) AS n_rows, any_value(sum_qty) AS sum_qty, any_value(sum_close) AS sum_close
 FROM files LEFT JOIN months USING (day) GROUP BY day""",
+        "file_ledger": """
+WITH rows AS (
+  SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS day, l_orderkey AS o, l_linenumber AS l,
+    (year(l_shipdate) * 12 + month(l_shipdate) - 1) % 5 AS kind,
+    CAST(l_extendedprice AS DECIMAL(18, 2)) AS price, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q
+  FROM lineitem
+), priced AS (
+  SELECT *, 'own' AS content, CAST(price AS VARCHAR) AS p FROM rows
+  UNION ALL SELECT *, 'revised', CAST(price + 1 AS VARCHAR) FROM rows WHERE kind = 1
+), files AS (
+  SELECT day, kind, content, strftime(day, '%d-%b-%Y') AS internal_date,
+    concat('SYMBOL,SERIES,DATE1,PREV_CLOSE,OPEN_PRICE,HIGH_PRICE,LOW_PRICE,LAST_PRICE,CLOSE_PRICE,',
+           'AVG_PRICE,TTL_TRD_QNTY,TURNOVER_LACS,NO_OF_TRADES,DELIV_QTY,DELIV_PER', chr(10),
+           string_agg(concat(o, '-', l, ',EQ,', strftime(day, '%d-%b-%Y'), ',-,-,-,-,-,', p, ',-,', q,
+                             ',-,-,-,-', chr(10)), '' ORDER BY o, l, p, q)) AS body
+  FROM priced GROUP BY day, kind, content
+), delivered AS (
+  SELECT day, 'valid' AS status, NULL AS note, internal_date, body FROM files
+  UNION ALL SELECT CAST(day + INTERVAL 1 MONTH AS DATE), 'nodata', 'stale/echoed content',
+    internal_date, body FROM files WHERE kind = 3
+  UNION ALL SELECT day, 'skipped', 'already loaded', internal_date, body FROM files WHERE kind = 0
+) SELECT day, status, note, CAST(strlen(body) AS BIGINT) AS bytes, internal_date,
+  substr(sha256(body), 1, 12) AS sha256_12 FROM delivered""",
         "typed_symbol_master": """
 SELECT 'NSE' AS exchange, concat('SUP', p_partkey) AS symbol,
   CASE WHEN p_partkey % 10 = 0 THEN 'ST' ELSE 'EQ' END AS series,
@@ -532,6 +556,25 @@ ORDER BY CASE WHEN z = 'inf'::DOUBLE THEN 1e9 ELSE z END DESC, n_channels DESC,
 ) SELECT ticker, window_end, count(DISTINCT channel_id) AS n_channels
 FROM known JOIN ends ON posted_at > window_end - INTERVAL 48 HOUR AND posted_at <= window_end
 GROUP BY ticker, window_end""",
+        "stream_watchlist": f"""WITH crowded AS ({shape('CROWDED_MENTIONS', 'duckdb', DUCKDB_TABLES)}),
+{bursts('crowded', _CROWDED_AT)}, ends AS (
+  SELECT unnest(generate_series(date_trunc('day', min(posted_at)), max(posted_at), INTERVAL 1 DAY))
+    AS window_end FROM known
+), counted AS (
+  SELECT ticker, window_end, count(DISTINCT channel_id) AS n FROM known
+  JOIN ends ON posted_at > window_end - INTERVAL 48 HOUR AND posted_at <= window_end
+  WHERE window_end < (SELECT max(posted_at) - INTERVAL 2 HOUR FROM known)
+  GROUP BY ticker, window_end
+), rated AS (
+  SELECT ticker, window_end, n, CASE WHEN s.baseline_std > 1e-9
+      THEN (n - s.baseline_mean) / s.baseline_std
+      WHEN n > coalesce(s.baseline_mean, 0.0) THEN 'inf'::DOUBLE ELSE 0.0 END AS z
+  FROM counted LEFT JOIN stats s USING (ticker)
+) SELECT ticker, window_end, n AS n_channels, round(z, 6) AS z FROM rated WHERE n >= 3 AND z >= 2
+QUALIFY row_number() OVER (PARTITION BY window_end ORDER BY least(z, 1e9) DESC, n DESC, ticker) <= 5""",
+        "stream_tags": f"""WITH {MESSAGES}, {SYMBOLS}, {EXACT}, {tips('messages')}
+SELECT {TIP_LIST}, coalesce(e.ticker, {ALIAS}) AS ticker
+FROM tips LEFT JOIN exact e USING ({KEY}) WHERE text <> ''""",
         "tip_columns": f"WITH {MESSAGES}, {tips('messages')} SELECT {TIP_LIST} FROM tips",
         "document_tip_columns": f"WITH docs AS ({_t('DOCUMENT_MESSAGES')}), {tips('docs')} "
                                 f"SELECT {TIP_LIST} FROM tips",
@@ -642,9 +685,6 @@ SELECT CAST(bin AS INT) AS bin, round(bin * 0.1, 6)::DOUBLE AS bin_lo,
     return sql
 
 
-_CROWDED_AT = "TIMESTAMP '1998-03-01'"
-
-
 def _lines(*parts: str) -> str:
     """Lists of lines put together, as one text."""
     return f"array_to_string(list_concat({', '.join(parts)}), chr(10))"

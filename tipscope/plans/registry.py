@@ -150,10 +150,10 @@ def _monthly_files(spark, sf):
         (F.year(first) * 12 + F.month(first) - 1).alias("_number"))
 
 
-@query
-def audited_files(spark, sf):
+def _audited(spark, sf):
     """A file for each month through the audited stream, in three deliveries: every fifth month
-    first as a copy of the month before, then right, with others repeated; then revised ones."""
+    first as a copy of the month before, then right, with others repeated; then revised ones.
+    Returns the stored prices and the ledger."""
     rows, folder = _monthly_files(spark, sf), scratch_path(spark, "landed")
     prices_root, ledger, state = (scratch_path(spark, n) for n in ("prices", "ledger", "state"))
     kind = F.col("_number") % 5
@@ -162,25 +162,40 @@ def audited_files(spark, sf):
     raised = (F.col("CLOSE_PRICE").cast("decimal(18,2)") + 1).cast("string")
     deliveries = [own.where(kind != 4).unionByName(echo), own.where(kind.isin(0, 4)),
                   own.where(kind == 1).withColumn("CLOSE_PRICE", raised)]
+    order = ["_file", "l_orderkey", "l_linenumber", "CLOSE_PRICE", "TTL_TRD_QNTY"]
     for number, delivery in enumerate(deliveries):
         (delivery.withColumn("DATE1", F.date_format("_day", "dd-MMM-yyyy"))
-         .repartition("_file").sortWithinPartitions("_file", "l_orderkey", "l_linenumber")
-         .select(*XF.DAILY_COLUMNS, "_file")
+         .repartition("_file").sortWithinPartitions(*order).select(*XF.DAILY_COLUMNS, "_file")
          .write.partitionBy("_file").csv(f"{folder}/load={number}", header=True))
         AU.ingest_audited(
             spark, folder, prices_root, ledger, state, files_per_batch=60,
             named_day=lambda path: F.regexp_extract(path, "_file=([0-9-]+)", 1).cast("date"),
         ).awaitTermination()
-    entered = SN.read_snapshot(spark, ledger).groupBy("day").agg(
+    return SN.read_snapshot(spark, prices_root), SN.read_snapshot(spark, ledger)
+
+
+@query
+def audited_files(spark, sf):
+    """What the audit made of each month's files, and the rows that were loaded for it."""
+    stored, ledger = _audited(spark, sf)
+    entered = ledger.groupBy("day").agg(
         F.count("*").alias("n_files"),
         *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("valid", "nodata", "skipped")],
         F.countDistinct("sha256").alias("n_contents"))
-    loaded = SN.read_snapshot(spark, prices_root).groupBy(F.col("trade_date").alias("day")).agg(
+    loaded = stored.groupBy(F.col("trade_date").alias("day")).agg(
         F.count("*").alias("n_rows"), F.sum("total_traded_qty").alias("sum_qty"),
         F.sum(F.col("close").cast("decimal(18,2)")).cast("double").alias("sum_close"))
     return entered.join(loaded, "day", "left")
 
 
+@query
+def file_ledger(spark, sf):
+    """The ledger of the same files: verdict, size, fingerprint and date inside."""
+    return _audited(spark, sf)[1].select(
+        "day", "status", "note", "bytes", "internal_date",
+        F.substring("sha256", 1, 12).alias("sha256_12"))
+
+
 @query
 def typed_symbol_master(spark, sf):
     """Two untyped masters with different columns, typed and put together."""
@@ -491,8 +506,43 @@ def late_channel_windows(spark, sf):
             F.lit("late").alias("kind"), "ticker", "window_end").agg(counted)))
 
 
+@query
+def stream_watchlist(spark, sf):
+    """The five most unusual bursts of each closed window of a stream of crowded mentions."""
+    table, source, out = crowded(spark, sf), scratch_path(spark, "crowded"), scratch_path(
+        spark, "stream-watchlist")
+    table.select("channel_id", "ticker", "posted_at").write.parquet(source)
+    windows = ST.sliding_channels(spark.readStream.schema(
+        "channel_id string, ticker string, posted_at timestamp").parquet(source))
+    baseline = B.burst_stats(table, datetime(1998, 3, 1)).select(
+        "ticker", "baseline_mean", "baseline_std")
+    ST.run_watchlist(windows, materialize(baseline, "baseline"), out,
+                     scratch_path(spark, "stream-state"), limit=5).awaitTermination()
+    return rounded(spark.read.schema(
+        "ticker string, window_end timestamp, n_channels bigint, z double").parquet(out)
+        .drop("batch"))
+
+
 # --- messages ------------------------------------------------------------------------------------
 
+@query
+def stream_tags(spark, sf):
+    """Messages as JSON files in three deliveries, some sent twice, also over the end of a delivery:
+    each tagged once."""
+    sent, box, out, state = messages(spark, sf), *(
+        scratch_path(spark, n) for n in ("box", "tags", "stream-state"))
+    ends = ["1992-01-01", "1994-05-01", "1996-08-01", "2100-01-01"]
+    at, again = F.col("posted_at"), F.col("message_id").cast("bigint") % 5 == 0
+    for start, end in zip(ends, ends[1:]):
+        # What the last two hours brought comes once more at the head of the next delivery.
+        part = sent.where((at >= F.lit(start).cast("timestamp") - F.expr("INTERVAL 2 HOURS"))
+                          & (at < F.lit(end).cast("timestamp")))
+        part.unionByName(part.where(again)).write.mode("append").json(box)
+        ST.run_tagging(ST.stream_messages(spark, box), symbols(spark, sf), out, state
+                       ).awaitTermination()
+    return spark.read.parquet(out).select(*MESSAGE_KEY, "ticker", *X.TIP_COLUMNS)
+
+
 def _tip_table(df: DataFrame) -> DataFrame:
     return X.with_tip_columns(df).select(*MESSAGE_KEY, *X.TIP_COLUMNS)
 

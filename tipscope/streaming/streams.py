@@ -92,6 +92,23 @@ def settle_tags(batch: DataFrame) -> DataFrame:
     ).withColumn("ticker", F.coalesce("_exact", "_alias")).drop("_exact", "_alias")
 
 
+def run_tagging(messages: DataFrame, symbols: DataFrame, path: str, checkpoint: str, *,
+                lateness: str = LATENESS, every: str | None = None) -> StreamingQuery:
+    """Write the tagged messages of a stream, each message key once, under ``path``.
+
+    By default all that is there, then stop. Every micro-batch has a folder of its own, so a batch
+    that is replayed after a failure replaces its own rows.
+    """
+    def publish(batch: DataFrame, number: int) -> None:
+        settle_tags(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (
+        tag_stream(deduplicate(messages, lateness), symbols).writeStream.foreachBatch(publish)
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
 def sliding_channels(mentions: DataFrame, *, lateness: str = LATENESS,
                      window: str = WINDOW, step: str = STEP) -> DataFrame:
     """Distinct channels per ticker and sliding window ``(start, end]``.
