@@ -15,7 +15,7 @@ entry = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(entry)
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
-print("rows", entry.queries()["name_similarity"](spark, {SF!r}).count())
+print("rows", entry.queries()["model_scores"](spark, {SF!r}).count())
 """
 
 
