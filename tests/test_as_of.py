@@ -53,6 +53,17 @@ def test_bursts_as_of_equal_burst_stats_at_each_time(spark, windows):
     assert any(r.is_burst for r in got.values()) or windows
 
 
+def test_sample_times_are_made_after_the_shuffle(spark):
+    df = mentions(spark)
+    asked = df.select("ticker", F.col("posted_at").alias("as_of"))
+    whole = bursts_as_of(asked, df)
+    assert sorted(map(repr, bursts_as_of(asked, df, group_pairs=2).collect())) == sorted(
+        map(repr, whole.collect()))
+    lines = whole._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffled = next(k for k, line in enumerate(lines) if "Window [sum" in line)
+    assert not any("Exchange" in line for line in lines[:shuffled])
+
+
 def test_bursts_of_tickers_nobody_named(spark):
     asked = spark.createDataFrame([("NEW", START)], "ticker string, as_of timestamp")
     for df in (mentions(spark), mentions(spark).limit(0)):
