@@ -95,6 +95,12 @@ def test_features_are_those_of_the_newest_session_before_the_day(spark):
     assert features_as_of(asked, sessions(spark).limit(0)).count() == 0
 
 
+def test_features_are_read_once(spark):
+    asked = spark.createDataFrame([("A", date(2026, 3, 4))], "ticker string, day date")
+    plan = features_as_of(asked, sessions(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("symbol#") > 0
+
+
 def factors(spark):
     rows = [("NSE", "SUZLON", "EQ", date(2026, 3, 1) + timedelta(days=d), 0.5, 3, 4.0, "micro",
              True, 10.0, p) for d, p in ((0, 0.2), (40, 0.9))]
