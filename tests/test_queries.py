@@ -32,3 +32,8 @@ def test_entry(spark):
 
 def test_no_sql_without_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ratios_are_spread_over_tasks(spark):
+    plan = entry.queries()["name_similarity"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    assert "RepartitionByExpression" in plan.toString()

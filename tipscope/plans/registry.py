@@ -640,8 +640,10 @@ def name_similarity(spark, sf):
     a = X.with_sorted_name(both, "_typed", "a").select(F.col("p_partkey").alias("k"), "a")
     b = X.with_sorted_name(part, "p_name", "b").select(
         (F.col("p_partkey") + 1).alias("k"), "b")
-    return rounded(a.join(b, "k").select("k", "a", "b", subsequence_ratio("a", "b")
-                                         .alias("ratio")))
+    # Few bytes, much work: a broadcast join would leave the ratios to the tasks of the scan.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rounded(a.join(b, "k").repartition(tasks, "k").select(
+        "k", "a", "b", subsequence_ratio("a", "b").alias("ratio")))
 
 
 # --- scores ----------------------------------------------------------------------------------------
