@@ -37,3 +37,8 @@ def test_no_sql_without_a_query():
 def test_ratios_are_spread_over_tasks(spark):
     plan = entry.queries()["name_similarity"](spark, SF)._jdf.queryExecution().optimizedPlan()
     assert "RepartitionByExpression" in plan.toString()
+
+
+@pytest.mark.parametrize("name", ["resolve_tickers", "tag_mentions", "resolver_accuracy"])
+def test_resolver_does_not_go_back_to_the_part_table(spark, name):
+    assert not [f for f in entry.queries()[name](spark, SF).inputFiles() if "part.parquet" in f]

@@ -75,6 +75,12 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return engine_table(spark, sf, "CHANNEL_MESSAGES")
 
 
+def stored_for_resolver(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Messages and symbols written once: the resolver reads both several times, and each time the
+    part table behind them would be collected and broadcast again."""
+    return materialize(messages(spark, sf), "messages"), materialize(symbols(spark, sf), "symbols")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return engine_table(spark, sf, "DOCUMENT_MESSAGES")
 
@@ -597,26 +603,27 @@ def resolve_fuzzy(spark, sf):
 
 @query
 def resolve_tickers(spark, sf):
-    return rounded(RS.resolve(messages(spark, sf), symbols(spark, sf)).select(
+    return rounded(RS.resolve(*stored_for_resolver(spark, sf)).select(
         *MESSAGE_KEY, "ticker", "ticker_score", "ticker_method", "ticker_name"))
 
 
 @query
 def tag_mentions(spark, sf):
-    return RS.tag_mentions(messages(spark, sf), symbols(spark, sf))
+    return RS.tag_mentions(*stored_for_resolver(spark, sf))
 
 
 @query
 def resolver_accuracy(spark, sf):
     """Share of full-name, swapped and misspelt messages that resolve as expected."""
-    expected = messages(spark, sf).select(
+    posted, master = stored_for_resolver(spark, sf)
+    expected = posted.select(
         *MESSAGE_KEY, F.when(
             (F.col("message_id").cast("bigint") % 8).isin(0, 1, 7),
             F.regexp_extract("text", "(SUP[0-9]{5})", 1)).alias("expected"))
-    known = symbols(spark, sf).select(F.col("symbol").alias("expected"), F.lit(1).alias("known"))
+    known = master.select(F.col("symbol").alias("expected"), F.lit(1).alias("known"))
     truth = expected.join(known, "expected", "left").select(
         *MESSAGE_KEY, F.when(F.col("known") == 1, F.col("expected")).alias("expected"))
-    resolved = RS.tag_mentions(messages(spark, sf), symbols(spark, sf))
+    resolved = RS.tag_mentions(posted, master)
     return rounded(RS.accuracy(resolved.join(truth, MESSAGE_KEY)))
 
 
@@ -624,7 +631,7 @@ def resolver_accuracy(spark, sf):
 def resolver_hits_by_kind(spark, sf):
     """For each kind of message: resolved to what it means, to something else, or not at all."""
     meant = engine_table(spark, sf, "MEANT_TICKERS")
-    resolved = RS.tag_mentions(messages(spark, sf), symbols(spark, sf))
+    resolved = RS.tag_mentions(*stored_for_resolver(spark, sf))
     right = F.col("ticker").eqNullSafe(F.col("expected"))
     wrong = F.col("ticker").isNotNull() & ~right
     return resolved.join(meant, "message_id").groupBy("kind").agg(
