@@ -411,3 +411,34 @@ def test_pipeline_of_nothing(spark, tmp_path):
         spark.read.parquet(f"{tmp_path}/full/{name}.parquet").limit(0).write.parquet(
             f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stars_are_left_without_another_round(spark, monkeypatch):
+    from tipscope.llm import components
+    rounds = []
+    store = components.materialize
+    monkeypatch.setattr(components, "materialize",
+                        lambda df, label: rounds.append(label) or store(df, label))
+    stars = [(0, k) for k in range(1, 6)] + [(10, 11), (20, 21), (20, 22)]
+    found = connected(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted(
+        {(a, a) for a, _ in stars} | {(b, a) for a, b in stars})
+    assert rounds == ["edges"]
+    # A path is no star, nor is a node with two lower neighbours.
+    for edges in ([(1, 2), (2, 3)], [(1, 3), (2, 3)]):
+        found = connected(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted(map(tuple, found)) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_set_join_works_in_small_batches(spark, monkeypatch):
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, inside = spark.conf.get(conf), []
+    store = set_join.materialize
+    monkeypatch.setattr(set_join, "materialize", lambda df, label: inside.append(
+        spark.conf.get(conf)) or store(df, label))
+    rows = [(k, f"one two three four five six {k // 2}") for k in range(8)]
+    found = set_join.jaccard_components(docs_of(spark, rows), words=3, percent=90).collect()
+    assert {r.component_id for r in found} == {0, 2, 4, 6}
+    assert set(inside) == {str(set_join.BATCH_ROWS)} and spark.conf.get(conf) == before
+    counts = np.random.default_rng(3).integers(0, 50, 200_000)
+    assert (set_join._ranks(counts) == np.unique(counts, return_inverse=True)[1]).all()
