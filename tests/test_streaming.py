@@ -142,3 +142,24 @@ def test_tagging_writes_each_message_once(spark, tmp_path):
     post(box, "2.json", message(2, "SBI", START + timedelta(hours=3)),
          message(4, "chatter", START + timedelta(hours=4)))
     assert run() == [*want, ("4", None)]
+
+
+def test_messages_without_a_symbol_do_not_share_a_join_key(spark):
+    rows = [("t", f"c{i % 5}", str(i), "chatter" if i % 4 else "SEBI says", START)
+            for i in range(400)]
+    rows.append((None, "c", "x", "buy SUZLON", START))
+    batch = spark.createDataFrame(rows, "source string, channel_id string, message_id string, "
+                                        "text string, posted_at timestamp")
+    master = spark.createDataFrame([("SUZLON", "Suzlon Energy")], "symbol string, name string")
+    got = S.tag_batch(batch, master).collect()
+    assert len(got) == len(rows)  # also where a part of the key is missing
+    assert {r.message_id: r.ticker for r in got if r.ticker} == {"x": "SUZLON"}
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream that keeps state
+    try:
+        sizes = S.tag_stream(batch, master).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in sizes) < len(rows) / 2

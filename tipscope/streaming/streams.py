@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tipscope.operators.bursts import is_burst
-from tipscope.operators.resolve import alias_symbol, clean_master, symbol_names
+from tipscope.operators.resolve import alias_symbol, clean_master, exact_hits, symbol_names
 from tipscope.functions.text import TIP_COLUMNS, ticker_tokens, with_tip_columns
 from tipscope.schemas import CHANNEL_MESSAGES, MESSAGE_KEY, SESSION_KEY
+from tipscope.session import materialize, release
 from tipscope.sources.exchange_files import DAILY_COLUMNS, text_schema, type_daily_rows
 from tipscope.sources.tables import upsert
 
@@ -70,11 +71,14 @@ def tag_stream(messages: DataFrame, symbols: DataFrame) -> DataFrame:
     the distinct texts of a batch and runs with the batch resolver.
     """
     names = symbol_names(clean_master(symbols)).select(F.col("symbol").alias("_token"))
-    tokens = F.concat(F.array(F.lit("")), ticker_tokens("text"))
+    # A message's own row has a key of its own, which no token equals: one key for all of them would
+    # gather the stream in one task.
+    own = F.concat(F.lit(" "), F.concat_ws("\x1f", *MESSAGE_KEY))
+    tokens = F.concat(F.array(own), ticker_tokens("text"))
     return (
         with_tip_columns(messages).withColumn("_token", F.explode(tokens))
         .join(names.withColumn("_known", F.lit(True)), "_token", "left")
-        .where(F.col("_known") | (F.col("_token") == ""))
+        .where(F.col("_known") | F.col("_token").startswith(" "))
         .withColumn("_exact", F.when(F.col("_known"), F.col("_token")))
         .select(*MESSAGE_KEY, "text", "posted_at", "_exact",
                 alias_symbol("text").alias("_alias"), *TIP_COLUMNS)
@@ -92,6 +96,24 @@ def settle_tags(batch: DataFrame) -> DataFrame:
     ).withColumn("ticker", F.coalesce("_exact", "_alias")).drop("_exact", "_alias")
 
 
+def tag_batch(batch: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Tip columns and ticker of a stored micro-batch, one row per message.
+
+    Symbols are looked up for the bare tokens, by the join that holds with hot ones; texts and tip
+    columns meet the few known tokens by message key.
+    """
+    master = clean_master(symbols).select("symbol", F.lit("").alias("name"))
+    exact = exact_hits(batch, master).select(
+        *[F.col(k).alias(f"_{k}") for k in MESSAGE_KEY], F.col("exact").alias("_exact"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in MESSAGE_KEY]
+    return (
+        with_tip_columns(batch).select(
+            *MESSAGE_KEY, "text", "posted_at", alias_symbol("text").alias("_alias"), *TIP_COLUMNS)
+        .join(exact, same, "left").withColumn("ticker", F.coalesce("_exact", "_alias"))
+        .select(*MESSAGE_KEY, "text", "posted_at", *TIP_COLUMNS, "ticker")
+    )
+
+
 def run_tagging(messages: DataFrame, symbols: DataFrame, path: str, checkpoint: str, *,
                 lateness: str = LATENESS, every: str | None = None) -> StreamingQuery:
     """Write the tagged messages of a stream, each message key once, under ``path``.
@@ -100,11 +122,13 @@ def run_tagging(messages: DataFrame, symbols: DataFrame, path: str, checkpoint:
     that is replayed after a failure replaces its own rows.
     """
     def publish(batch: DataFrame, number: int) -> None:
-        settle_tags(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        arrived = materialize(batch, "arrived")
+        tag_batch(arrived, symbols).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        release(arrived)
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
-        tag_stream(deduplicate(messages, lateness), symbols).writeStream.foreachBatch(publish)
+        deduplicate(messages, lateness).writeStream.foreachBatch(publish)
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
