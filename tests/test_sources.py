@@ -1,9 +1,11 @@
 import json
+import time
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from tipscope.functions.coerce import to_long
 from tipscope.operators.latest import serving_features, store_summary
 from tipscope.schemas import DAILY_PRICES, SESSION_KEY
 from tipscope.session import scratch_path
@@ -185,3 +187,21 @@ def test_serving_store(spark, tmp_path):
     assert (row.n_rows, row.n_dates, row.n_symbols) == (90, 90, 2)
     assert row.last_date == date(2026, 4, 10)
     assert store_summary(serving_features(features, 5)).first().n_rows == 5
+
+
+def test_texts_that_are_no_number_cost_no_more_than_numbers(spark):
+    def seconds(text):
+        rows = spark.range(0, 1_000_000, numPartitions=2).select(to_long(F.concat(
+            F.lit(text), F.when(F.col("id") < 0, "x").otherwise(""))).alias("n"))
+        start = time.perf_counter()
+        rows.agg(F.sum("n")).collect()
+        return time.perf_counter() - start
+
+    assert min(seconds("-") for _ in range(2)) < 4 * min(seconds("12") for _ in range(2)) + 1
+
+
+def test_whole_numbers_as_a_cast_reads_them(spark):
+    texts = ["12", "+7", "-3", "\x0112\x7f", "12.0", "1e2", "2.5", "-", "", "9" * 30]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        to_long(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [12, 7, -3, 12, 12, 100, None, None, None, None]
