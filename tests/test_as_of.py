@@ -7,10 +7,15 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tipscope.operators.as_of import bursts_as_of, features_as_of
+from test_features import business_days, noisy, rows
+from tipscope.operators import sessions as sessions_module
+from tipscope.operators.as_of import bursts_as_of, days_asked, features_as_of
 from tipscope.operators.bursts import burst_stats
+from tipscope.operators.features import market_features
 from tipscope.operators.skew import lookup_join
+from tipscope.plans import registry
 from tipscope.plans import scoring as P
+from tipscope.plans.driver_tables import engine_table
 
 START = datetime(2026, 3, 1)
 
@@ -159,3 +164,69 @@ def test_lookup_join_equals_a_plain_join(spark, rows, how):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert ("_salt" in plan) == (rows == 0)
     assert math.isclose(got.count(), want.count())
+
+
+@pytest.mark.parametrize("first, last", [(400, 430), (0, 20), (560, 900), (261, 262), (-40, -10)])
+def test_features_of_a_span_are_all_that_its_days_ask_for(spark, monkeypatch, first, last):
+    """Over three years; in the second symbol's history a gap lies before the span."""
+    monkeypatch.setattr(sessions_module.cut_blocks, "__kwdefaults__",
+                        {"back": 0, "ahead": 0, "block": 64})
+    days = business_days(600)
+    gap = F.col("trade_date").between(days[300], days[420])
+    prices = noisy(spark, 600).unionByName(
+        noisy(spark, 600, seed=9).withColumn("symbol", F.lit("XYZ")).where(~gap))
+    at = [days[0] + timedelta(days=round(k * 1.4)) for k in (first, (first + last) // 2, last)]
+    asked = spark.createDataFrame(
+        [(t, d) for t in ("ABC", "XYZ", "NONE") for d in at] + [(None, days[0]), ("ABC", None)],
+        "ticker string, day date")
+    span = days_asked(asked)
+    assert span == (at[0], at[-1])
+    everything = market_features(prices, min_history=1)
+    few = market_features(prices, min_history=1, span=span)
+    assert rows(features_as_of(asked, few)) == rows(features_as_of(asked, everything))
+    assert few.count() < everything.count()
+    assert few.where(F.col("trade_date") >= at[-1]).count() == 0
+    assert days_asked(asked.where("ticker IS NULL")) is None
+
+
+def test_rows_are_stored_before_they_are_ranked(spark, monkeypatch):
+    """So that ranked rows meet the sizes of their years without another shuffle."""
+    stored = []
+    monkeypatch.setattr(sessions_module, "materialize",
+                        lambda df, label: stored.append(df) or df.localCheckpoint())
+    prices = noisy(spark, 30).select("exchange", "symbol", "series", "trade_date", "is_sme")
+    assert sessions_module.number_sessions(prices).count() == 30
+    plan = stored[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(stored) == 1 and "Window" not in plan and "Exchange" not in plan
+
+
+def test_stored_tips_leave_their_ids_behind(spark, monkeypatch):
+    posts = spark.createDataFrame(
+        [("telegram", "c", str(k), "buy now", START) for k in range(4)],
+        "source string, channel_id string, message_id string, text string, posted_at timestamp")
+    named = posts.select("source", "channel_id", "message_id", F.lit("A").alias("ticker"), "posted_at")
+    monkeypatch.setattr(registry, "messages", lambda *_: posts)
+    monkeypatch.setattr(registry, "crowded", lambda *_: named)
+    tips = registry._crowded_tips(spark, "")
+    kept = spark.read.parquet(*tips.inputFiles()).columns
+    assert "tip_id" not in kept and "message_id" in kept
+    want = {r.message_id: r.tip_id for r in P.parse_tips(posts).collect()}
+    assert {r.message_id: r.tip_id for r in tips.collect()} == want
+
+
+def test_line_items_are_shuffled_before_they_become_prices(spark, tmp_path):
+    items = [(k, k % 3, 1 + k % 2, 5.0 + k, 1000.0 * k, 0.1, "N" if k % 2 else "R",
+              datetime(2026, 1, 1 + k % 4)) for k in range(40)]
+    spark.createDataFrame(
+        items, "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+               "l_extendedprice double, l_discount double, l_returnflag string, l_shipdate timestamp"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = engine_table(spark, str(tmp_path), "DAILY_PRICES")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan
+    got = {(r.symbol, r.trade_date.day): (r.close, r.high, r.num_trades) for r in found.collect()}
+    for supplier in range(3):
+        for day in range(4):
+            mine = [k for k in range(40) if k % 3 == supplier and k % 4 == day]
+            assert got[f"SUP0000{supplier}", day + 1] == (
+                100 + max(mine) / 2, 100 + max(mine) / 2, len(mine))
