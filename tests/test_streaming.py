@@ -1,10 +1,12 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from test_sources import HEADER, line, write
 from tipscope.operators.bursts import burst_stats
+from tipscope.plans import registry
 from tipscope.schemas import MESSAGE_KEY
 from tipscope.session import scratch_path
 from tipscope.streaming import streams as S
@@ -163,3 +165,43 @@ def test_messages_without_a_symbol_do_not_share_a_join_key(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(r["count"] for r in sizes) < len(rows) / 2
+
+
+@pytest.mark.parametrize("hours", [40 * 24, 40 * 24 + 2, 40 * 24 + 3])
+def test_watchlist_of_stored_windows_equals_that_of_a_state_store(spark, hours):
+    """Also where the watermark falls on the end of a window, which then stays open."""
+    rows = mention_rows()[:-1] + [("c0", "LAST", START + timedelta(hours=hours)), ("c1", None, START),
+                                  ("c1", "PUMP", None), (None, "PUMP", START + timedelta(days=20))]
+    rows += [(f"x{k}", "EDGE", START + timedelta(days=39, hours=k)) for k in range(12)]
+    df = spark.createDataFrame(rows, "channel_id string, ticker string, posted_at timestamp")
+    source = scratch_path(spark, "mentions")
+    df.write.parquet(source)
+    baseline = burst_stats(df, START + timedelta(days=19)).select(
+        "ticker", "baseline_mean", "baseline_std")
+    outs = [scratch_path(spark, "watchlist") for _ in range(2)]
+    stream = spark.readStream.schema(df.schema).parquet(source)
+    finish(S.run_watchlist(S.sliding_channels(stream), baseline, outs[0],
+                           scratch_path(spark, "state"), limit=2))
+    root, state = scratch_path(spark, "windows"), scratch_path(spark, "state")
+    query = S.run_stored_watchlist(stream, baseline, root, outs[1], state, limit=2)
+    finish(query)
+    assert not any(p["stateOperators"] for p in query.recentProgress)  # nothing held in memory
+    want, got = ([tuple(r) for r in spark.read.parquet(out).drop("batch").collect()] for out in outs)
+    assert sorted(got) == sorted(want) and len(got) > 3
+    edge = datetime(START.year, START.month, START.day) + timedelta(days=40)
+    assert any(r[1] == edge for r in got) == (hours > 40 * 24 + 2)
+    # A batch that was committed but not published is published when it is replayed.
+    again = scratch_path(spark, "watchlist")
+    finish(S.run_stored_watchlist(stream, baseline, root, again, scratch_path(spark, "state"), limit=2))
+    assert sorted(tuple(r) for r in spark.read.parquet(again).drop("batch").collect()) == sorted(want)
+
+
+def test_stream_watchlist_keeps_no_state(spark, monkeypatch):
+    named = spark.createDataFrame(mention_rows(), "channel_id string, ticker string, "
+                                                  "posted_at timestamp")
+    monkeypatch.setattr(registry, "crowded", lambda *_: named)
+    seen, run = [], S.run_stored_watchlist
+    monkeypatch.setattr(S, "run_stored_watchlist",
+                        lambda *a, **k: seen.append(run(*a, **k)) or seen[-1])
+    assert registry.queries()["stream_watchlist"](spark, "").count() > 0
+    assert len(seen) == 1 and not any(p["stateOperators"] for p in seen[0].recentProgress)

@@ -512,15 +512,16 @@ def late_channel_windows(spark, sf):
 @query
 def stream_watchlist(spark, sf):
     """The five most unusual bursts of each closed window of a stream of crowded mentions."""
-    table, source, out = crowded(spark, sf), scratch_path(spark, "crowded"), scratch_path(
-        spark, "stream-watchlist")
+    table = crowded(spark, sf)
+    source, root, out, state = (scratch_path(spark, n) for n in (
+        "crowded", "crowded-windows", "stream-watchlist", "stream-state"))
     table.select("channel_id", "ticker", "posted_at").write.parquet(source)
-    windows = ST.sliding_channels(spark.readStream.schema(
-        "channel_id string, ticker string, posted_at timestamp").parquet(source))
+    stream = spark.readStream.schema(
+        "channel_id string, ticker string, posted_at timestamp").parquet(source)
     baseline = B.burst_stats(table, datetime(1998, 3, 1)).select(
         "ticker", "baseline_mean", "baseline_std")
-    ST.run_watchlist(windows, materialize(baseline, "baseline"), out,
-                     scratch_path(spark, "stream-state"), limit=5).awaitTermination()
+    ST.run_stored_watchlist(stream, materialize(baseline, "baseline"), root, out, state,
+                            limit=5).awaitTermination()
     return rounded(spark.read.schema(
         "ticker string, window_end timestamp, n_channels bigint, z double").parquet(out)
         .drop("batch"))

@@ -13,6 +13,7 @@ from tipscope.schemas import CHANNEL_MESSAGES, MESSAGE_KEY, SESSION_KEY
 from tipscope.session import materialize, release
 from tipscope.sources.exchange_files import DAILY_COLUMNS, text_schema, type_daily_rows
 from tipscope.sources.tables import upsert
+from tipscope.streaming.windows import run_channel_windows
 
 LATENESS = "2 hours"
 WINDOW, STEP = "48 hours", "24 hours"
@@ -195,11 +196,22 @@ def rank_bursts(windows: DataFrame, baseline: DataFrame, limit: int = 25) -> Dat
 def run_watchlist(windows: DataFrame, baseline: DataFrame, path: str, checkpoint: str,
                   limit: int = 25) -> StreamingQuery:
     """Write the ranked bursts of every micro-batch's closed windows."""
-    def publish(batch: DataFrame, number: int) -> None:
-        rank_bursts(batch, baseline, limit).write.mode("overwrite").parquet(
-            f"{path}/batch={number}")
-
     return (
-        windows.writeStream.outputMode("append").foreachBatch(publish)
+        windows.writeStream.outputMode("append").foreachBatch(_publish(baseline, path, limit))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def run_stored_watchlist(mentions: DataFrame, baseline: DataFrame, root: str, path: str,
+                         checkpoint: str, limit: int = 25) -> StreamingQuery:
+    """The same from a stream of mentions whose windows are kept in files under ``root``: a state store
+    would hold each channel of every open window in memory."""
+    return run_channel_windows(mentions, root, checkpoint, past=True,
+                               then=_publish(baseline, path, limit))
+
+
+def _publish(baseline: DataFrame, path: str, limit: int):
+    def publish(batch: DataFrame, number: int) -> None:
+        rank_bursts(batch, baseline, limit).write.mode("overwrite").parquet(
+            f"{path}/batch={number}")
+    return publish

@@ -11,6 +11,7 @@ row's every window.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,15 +83,26 @@ def _batch(rows: DataFrame, number: int, root: str, lateness: int, window: int,
 
 def run_channel_windows(mentions: DataFrame, root: str, checkpoint: str, *,
                         lateness_hours: float = 2, window_hours: int = 48,
-                        step_hours: int = 24) -> StreamingQuery:
+                        step_hours: int = 24, past: bool = False,
+                        then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Keep the windows of a stream of mentions (ticker, channel_id, posted_at) under ``root``.
 
-    Runs over all that is there, then stops. Rows without a ticker or time count nowhere.
+    Runs over all that is there, then stops. Rows without a ticker or time count nowhere. With ``past``
+    a window that ends on the watermark stays open until it is past it. ``then`` gets the windows that
+    each micro-batch has closed, and its number, once they are written; again if the batch is replayed.
     """
+    home = root.rstrip("/")
     sizes = [int(h * _HOUR) for h in (lateness_hours, window_hours, step_hours)]
-    return mentions.writeStream.foreachBatch(
-        lambda rows, number: _batch(rows, number, root.rstrip("/"), *sizes)
-    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    sizes[0] += past  # whole microseconds
+
+    def each(rows: DataFrame, number: int) -> None:
+        _batch(rows, number, home, *sizes)
+        if then is not None:
+            then(rows.sparkSession.read.schema(CLOSED).parquet(f"{home}/closed/batch={number}"),
+                 number)
+
+    return mentions.writeStream.foreachBatch(each).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _committed(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame:
